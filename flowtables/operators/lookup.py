@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtables.catalog import RecordClass
@@ -59,3 +59,14 @@ def position_per_id(table: DataFrame, cls: RecordClass, sort: int) -> DataFrame:
         .withColumn("pos", F.col("_offset") + F.col("_rank"))
         .drop("_day", "_rank", "_offset")
     )
+
+
+def public(table: DataFrame) -> DataFrame:
+    """Without the fields that are never shown."""
+    return table.drop("_id", "SubAuthorityCode", "Status")
+
+
+def without_vehicles(links: Column) -> Column:
+    """Nested links with the vehicle entries taken out of each lane."""
+    return F.transform(links, lambda link: link.withField(
+        "Lanes", F.transform(link["Lanes"], lambda lane: lane.dropFields("Vehicles"))))
