@@ -3,7 +3,7 @@ an explicit null stay apart. ``header`` is the batch's UpdateTime text, ``seq``
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtables.catalog import RecordClass
@@ -15,31 +15,44 @@ def envelope_schema(cls: RecordClass) -> str:
     return f"UpdateTime string, {cls.container} array<{FIELDS}>"
 
 
-def _records(batches: DataFrame, cls: RecordClass, order: Column) -> DataFrame:
+def _records(batches: DataFrame, cls: RecordClass) -> DataFrame:
     return batches.select(
-        F.col("UpdateTime").alias("header"), order.alias("_batch"), F.posexplode(cls.container).alias("_pos", "fields"),
-    ).select("header", "fields", F.struct(F.col("_batch"), F.col("_pos")).alias("seq"))
+        F.col("UpdateTime").alias("header"), "_order", F.posexplode(cls.container).alias("_pos", "fields"),
+    ).select("header", "fields", F.struct("_order", "_pos").alias("seq"))
 
 
-def read_batches(spark: SparkSession, path: str, cls: RecordClass, *, multi_line: bool = True) -> DataFrame:
-    """Batch documents from files: one document per file, or one per line (splittable) when not ``multi_line``.
+def _place(rows: DataFrame) -> DataFrame:
+    """Adds ``_order``: file time, file name, split and row of the scan. Must stand right on the scan."""
+    return rows.withColumn("_order", F.struct(
+        "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start",
+        F.monotonically_increasing_id().alias("row")))
+
 
-    Arrival order is file time, file name, the batch's own time, position in the batch.
-    """
+def read_batches(spark: SparkSession, path: str, cls: RecordClass, *, multi_line: bool = True) -> DataFrame:
+    """Batch documents from files: one document per file, or one per line (splittable) when not ``multi_line``."""
     docs = spark.read.schema(envelope_schema(cls)).option("multiLine", multi_line).json(path)
-    order = F.struct("_metadata.file_modification_time", "_metadata.file_path", "UpdateTime")
-    return _records(docs.withColumn("_order", order), cls, F.col("_order"))
+    return _records(_place(docs), cls)
 
 
 def parse_batches(texts: DataFrame, column: str, cls: RecordClass, *, order: str) -> DataFrame:
     """Batch documents already in a text column, with the caller's arrival order."""
     docs = texts.select(F.col(order).alias("_order"), F.from_json(column, envelope_schema(cls)).alias("doc"))
-    return _records(docs.select("_order", "doc.*"), cls, F.col("_order"))
+    return _records(docs.select("_order", "doc.*"), cls)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Single records, one JSON document per line."""
-    lines = spark.read.text(path)
+def line_records(lines: DataFrame) -> DataFrame:
+    """Raw lines of a text scan as records, keeping where each came from."""
     return lines.select(
         F.lit(None).cast("string").alias("header"), F.from_json("value", FIELDS).alias("fields"),
-        F.struct("_metadata.file_modification_time", "_metadata.file_path").alias("seq"))
+        "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
+
+
+def in_arrival_order(records: DataFrame) -> DataFrame:
+    """Adds ``seq`` to line records. Must stand right on the scan or the micro-batch."""
+    return records.select("header", "fields", F.struct(
+        "file_modification_time", "file_path", "file_block_start", F.monotonically_increasing_id().alias("row")).alias("seq"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Single records, one JSON document per line."""
+    return in_arrival_order(line_records(spark.read.text(path)))

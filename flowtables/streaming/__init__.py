@@ -1,0 +1 @@
+"""Structured Streaming forms of upsert, deduplication and rolling windows."""

@@ -198,11 +198,11 @@ def ingest_json_batch(spark, sf_dir):
         F.lit('"UpdateTime":"'), F.col("batch_no").cast("string"), F.lit('"'))).alias("text"))
     labelled.select("text").write.text(path)
     read = jsonrecords.read_batches(spark, path, LIVE, multi_line=False)
-    keyed = upsert.key_batch(read, LIVE)
+    keyed = upsert.key_batch(read.withColumn("seq", F.struct("header", "seq")), LIVE)
     return keyed.select(
-        F.col("seq._batch.UpdateTime").cast("bigint").alias("batch_no"), F.col("id").cast("bigint").alias("user_id"),
+        F.col("seq.header").cast("bigint").alias("batch_no"), F.col("id").cast("bigint").alias("user_id"),
         ntz("time", "day"), F.col("fields")["event_type"].alias("event_type"),
-        F.col("fields")["value"].try_cast("double").alias("value"), F.col("seq._pos").cast("bigint").alias("pos"))
+        F.col("fields")["value"].try_cast("double").alias("value"), F.col("seq.seq._pos").cast("bigint").alias("pos"))
 
 
 @query("ingest_json_lines", """
