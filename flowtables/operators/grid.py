@@ -28,6 +28,8 @@ def first_per_minute(flows: DataFrame, *, order="At", descending=False) -> DataF
         flows.groupBy("VDID", epoch_minute(F.col(order)).alias("minute"))
         .agg(first_by(F.col(order), payload, descending).alias("first"))
         .select("VDID", "minute", "first.DataStatus", "first.LinkFlows")
+        # Every user of the result implies this filter; stated here, they share one shuffle.
+        .where(F.col("VDID").isNotNull() & F.col("minute").isNotNull())
     )
 
 
@@ -37,20 +39,21 @@ def templates(minutes: DataFrame, *, descending=False) -> DataFrame:
     return minutes.groupBy("VDID").agg(first_by(F.col("minute"), blank, descending).alias("Template"))
 
 
-def minute_grid(detectors: DataFrame, first: int, last: int, step: int = 1) -> DataFrame:
-    """Each detector row repeated for the minutes first, first+step, .. last.
+def minute_grid(detectors: DataFrame, first: int | Column, last: int | Column, step: int = 1) -> DataFrame:
+    """Each detector row repeated for the minutes first, first+step, .. last; none where last < first.
 
     Built in two explodes with a shuffle between, so one detector's long range is spread over many tasks.
     """
-    if last < first:
-        return detectors.withColumn("minute", F.lit(first).cast("bigint")).where(F.lit(False))
     span = step * GRID_PIECE
-    pieces = detectors.withColumn("_piece", F.explode(F.sequence(
-        F.lit(first).cast("bigint"), F.lit(last).cast("bigint"), F.lit(span).cast("bigint"))))
-    if last - first >= span:
+    fixed = isinstance(first, int) and isinstance(last, int)
+    low, high = ((F.lit(x) if isinstance(x, int) else x).cast("bigint") for x in (first, last))
+    pieces = detectors.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn(
+        "_piece", F.explode(F.sequence(F.col("_low"), F.col("_high"), F.lit(span).cast("bigint"))))
+    if not fixed or last - first >= span:
         pieces = pieces.repartition("VDID", "_piece")
     return pieces.withColumn("minute", F.explode(F.sequence(
-        F.col("_piece"), F.least(F.col("_piece") + (span - step), F.lit(last)), F.lit(step).cast("bigint")))).drop("_piece")
+        F.col("_piece"), F.least(F.col("_piece") + (span - step), F.col("_high")), F.lit(step).cast("bigint")))).drop(
+        "_piece", "_low", "_high")
 
 
 def fill_missing_minutes(minutes: DataFrame, first: int, last: int, *, descending=False) -> DataFrame:

@@ -80,7 +80,7 @@ def repair_minutes(minutes: DataFrame, *, method: str = "linear", missing: bool
     fixed = (
         repaired_cells(minutes, method=method, missing=missing)
         .groupBy("VDID", "minute")
-        .agg(F.array_sort(F.collect_list(F.struct("LinkID", *READINGS))).alias("Fixed"))
+        .agg(F.sort_array(F.collect_list(F.struct("LinkID", *READINGS))).alias("Fixed"))
     )
     abnormal = F.coalesce(F.col("DataStatus") == flow.ABNORMAL, F.lit(True))
     repaired = F.col("Fixed").isNotNull() & abnormal
@@ -101,8 +101,10 @@ def repair_report(minutes: DataFrame, first: int, last: int, *, method: str = "l
     usable = F.col("DataStatus") == flow.NORMAL
     spans = links.groupBy("VDID", "LinkID").agg(
         F.min(F.when(usable, F.col("minute"))).alias("since"), F.max(F.when(usable, F.col("minute"))).alias("until"))
-    outside = minute_grid(spans, first, last).where(
-        F.col("since").isNull() | (F.col("minute") < F.col("since")) | (F.col("minute") > F.col("until")))
+    before = F.struct(F.lit(first).cast("bigint").alias("low"), F.coalesce(F.col("since") - 1, F.lit(last)).cast("bigint").alias("high"))
+    after = F.struct((F.col("until") + 1).alias("low"), F.lit(last).cast("bigint").alias("high"))
+    ends = spans.select("VDID", "LinkID", F.inline(F.when(F.col("since").isNull(), F.array(before)).otherwise(F.array(before, after))))
+    outside = minute_grid(ends, F.col("low"), F.col("high"))
     status = minutes.select("VDID", "minute", F.col("DataStatus").alias("_was"))
     unrepaired = outside.join(status, ["VDID", "minute"], "left").where(
         F.coalesce(F.col("_was") != flow.NORMAL, F.lit(True))).select(

@@ -84,7 +84,7 @@ def window_sums(rows: DataFrame, *, start: int, end: int, interval: int, rolling
 def _link_readings(links: Column, valid: Column, first: Column, rolling: int) -> Column:
     """Links of the first valid minute only, in that record's order."""
     minute = lambda first_seen: F.shiftright(first_seen, POSITION_BITS)
-    kept = F.array_sort(F.filter(links, lambda link: minute(link["first"]) == minute(first)))
+    kept = F.sort_array(F.filter(links, lambda link: minute(link["first"]) == minute(first)))
     return F.transform(kept, lambda link: F.struct(
         link["LinkID"].alias("LinkID"),
         (link["volume"] / valid * rolling).alias("Volume"),

@@ -79,7 +79,7 @@ def rolling_flows(records: DataFrame, *, start, interval: int, rolling: int, del
     usable = F.col("DataStatus").isin(flow.NORMAL, flow.REPAIR)
     windows = minutes.groupBy("VDID", hops).agg(
         F.collect_list(F.when(usable, F.struct("minute", "DataStatus", "LinkFlows"))).alias("records"))
-    records_in_order = F.array_sort("records")
+    records_in_order = F.sort_array("records")
     return (
         windows.withColumn("records", records_in_order).where(F.size("records") > 0)
         .select(

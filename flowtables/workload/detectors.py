@@ -30,14 +30,10 @@ _VEHICLE_SPEED = "CASE WHEN vehicle_type = 'X' THEN NULL ELSE 20 + min_part % 80
 
 
 def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per record, link, lane and vehicle type."""
+    """One row per order (a record), lane and vehicle type, keyed by the numbers the names derive from."""
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        f"{_AUTHORITY} AS authority",
-        "concat('VD-', l_orderkey % 50) AS VDID",
-        f"timestamp_seconds({int(ORIGIN.timestamp())} + {SECONDS_PER_RECORD} * (l_orderkey DIV {DETECTORS})) AS DataCollectTime",
-        f"{_STATUS} AS Status", "concat('LK-', l_linenumber % 2) AS LinkID", "l_linenumber AS lane_no",
-        f"{_VEHICLE_TYPE} AS vehicle_type", f"{_VOLUME} AS volume", "l_partkey", "l_suppkey")
-    return rows.groupBy("authority", "VDID", "DataCollectTime", "Status", "LinkID", "lane_no", "vehicle_type").agg(
+        "l_orderkey", "l_linenumber", f"{_VEHICLE_TYPE} AS vehicle_type", f"{_VOLUME} AS volume", "l_partkey", "l_suppkey")
+    return rows.groupBy("l_orderkey", "l_linenumber", "vehicle_type").agg(
         F.sum("volume").alias("volume"), F.min("l_partkey").alias("min_part"), F.sum("l_suppkey").alias("sum_supp"))
 
 
@@ -46,21 +42,24 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     After one shuffle on the record key the three nesting steps run in place.
     """
-    record = ["authority", "VDID", "DataCollectTime", "Status"]
     vehicle = F.struct(F.col("vehicle_type").alias("VehicleType"), F.col("volume").alias("Volume"),
                        F.expr(_VEHICLE_SPEED).cast("double").alias("Speed"))
     lanes = (
-        vehicles(spark, sf_dir).repartition("VDID", "DataCollectTime")
-        .groupBy(*record, "LinkID", "lane_no")
+        vehicles(spark, sf_dir).repartition("l_orderkey")
+        .groupBy("l_orderkey", "l_linenumber")
         .agg(F.expr(_LANE_SPEED).cast("double").alias("Speed"), F.expr(_LANE_OCCUPANCY).cast("double").alias("Occupancy"),
-             F.array_sort(F.collect_list(vehicle)).alias("Vehicles"))
+             F.sort_array(F.collect_list(vehicle)).alias("Vehicles"))
     )
-    links = lanes.groupBy(*record, "LinkID").agg(
-        F.array_sort(F.collect_list(F.struct("lane_no", "Speed", "Occupancy", "Vehicles"))).alias("Lanes"))
+    links = lanes.groupBy("l_orderkey", F.expr("concat('LK-', l_linenumber % 2)").alias("LinkID")).agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", "Speed", "Occupancy", "Vehicles"))).alias("Lanes"))
     lanes_without_number = F.transform("Lanes", lambda lane: F.struct(
         lane["Speed"].alias("Speed"), lane["Occupancy"].alias("Occupancy"), lane["Vehicles"].alias("Vehicles")))
-    return links.groupBy(*record).agg(
-        F.array_sort(F.collect_list(F.struct("LinkID", lanes_without_number.alias("Lanes")))).alias("LinkFlows"))
+    nested = links.groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("LinkID", lanes_without_number.alias("Lanes")))).alias("LinkFlows"))
+    return nested.selectExpr(
+        f"{_AUTHORITY} AS authority", f"concat('VD-', l_orderkey % {DETECTORS}) AS VDID",
+        f"timestamp_seconds({int(ORIGIN.timestamp())} + {SECONDS_PER_RECORD} * (l_orderkey DIV {DETECTORS})) AS DataCollectTime",
+        f"{_STATUS} AS Status", "LinkFlows")
 
 
 def bounds(spark: SparkSession, sf_dir: str) -> tuple[datetime, datetime]:

@@ -52,7 +52,7 @@ def event_table(merged: DataFrame) -> DataFrame:
 def event_batches(rows: DataFrame) -> DataFrame:
     """Batch documents as JSON text: batch_no, text."""
     packed = rows.groupBy(F.expr(f"event_id DIV {BATCH_ROWS}").alias("batch_no")).agg(
-        F.array_sort(F.collect_list(F.struct("event_id", F.map_entries(event_fields()).alias("f")))).alias("items"),
+        F.sort_array(F.collect_list(F.struct("event_id", F.map_entries(event_fields()).alias("f")))).alias("items"),
         F.max(F.expr(_DAY_TEXT)).alias("UpdateTime"))
     records = F.transform("items", lambda x: F.map_from_entries(x["f"])).alias(LIVE.container)
     return packed.select("batch_no", F.to_json(F.struct("UpdateTime", records)).alias("text"))
@@ -132,7 +132,7 @@ FROM customer""")
 def upsert_static_batch(spark, sf_dir):
     """Records without a time take the batch's UpdateTime, as key and as field."""
     packed = camera_rows(spark, sf_dir).groupBy(F.expr("item DIV 50").alias("batch_no")).agg(
-        F.array_sort(F.collect_list(F.struct("item", F.map_entries("fields").alias("e")))).alias("items"))
+        F.sort_array(F.collect_list(F.struct("item", F.map_entries("fields").alias("e")))).alias("items"))
     header = F.expr("concat(date_format(timestamp'2020-12-20 15:00:00' + make_dt_interval(0, cast(batch_no AS int)), \"yyyy-MM-dd'T'HH:mm:ss\"), '+08:00')")
     records = F.transform("items", lambda x: F.map_from_entries(x["e"])).alias(STATIC.container)
     texts = packed.select("batch_no", F.to_json(F.struct(header.alias("UpdateTime"), records)).alias("text"))

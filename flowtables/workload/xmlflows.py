@@ -36,7 +36,7 @@ def joined(items: Column, render) -> Column:
 def documents(rows: DataFrame, cls: RecordClass, record: Column, *, batch: Column, order: Column) -> DataFrame:
     """batch_no, text: one XML document per batch with its records in order."""
     packed = rows.groupBy(batch.alias("batch_no")).agg(
-        F.array_sort(F.collect_list(F.struct(order.alias("o"), tag(cls.name, record).alias("x")))).alias("items"))
+        F.sort_array(F.collect_list(F.struct(order.alias("o"), tag(cls.name, record).alias("x")))).alias("items"))
     opening = (f'<?xml version="1.0" encoding="UTF-8"?><{cls.root} xmlns="http://example.org/traffic/" '
                f'xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:schemaLocation="http://example.org/traffic/ a.xsd">'
                f"<UpdateTime>{UPDATE_TIME}</UpdateTime>")
