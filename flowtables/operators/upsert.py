@@ -88,7 +88,10 @@ def _typed(text: Column, kind: str) -> Column:
         return text
     if kind == "timestamp":
         return parse_iso(text)
-    return F.from_json(text, kind) if kind.startswith(("array", "map", "struct")) else text.try_cast(kind)
+    if kind.startswith(("array", "map", "struct")):
+        # Numbers arrive quoted or not; read them as text, then cast each where it can be.
+        return F.from_json(text, kind.replace(":double", ":string").replace(":bigint", ":string")).try_cast(kind)
+    return text.try_cast(kind)
 
 
 def merge_typed(target: DataFrame, batch: DataFrame, cls: RecordClass) -> DataFrame:

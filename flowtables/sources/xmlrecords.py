@@ -160,6 +160,8 @@ def read_detectors(spark: SparkSession, path: str, *, unit: str = "file") -> Dat
     reader = spark.read.format("xml").option("ignoreNamespace", True).option("multiLine", unit == "file")
     if unit == "record":
         rows = reader.option("rowTag", cls.name).schema(DETECTOR_XML).load(path)
+        # The lines around the records read as rows without any field.
+        rows = rows.where("coalesce(VDID, DataCollectTime, Status, to_json(LinkFlows)) IS NOT NULL")
         return _detector_rows(rows.select(F.lit(None).cast("string").alias("header"), F.array(F.struct("*")).alias("rows")))
     schema = f"UpdateTime string, {cls.container} struct<{cls.name}: array<struct<{DETECTOR_XML}>>>"
     docs = reader.option("rowTag", cls.root).schema(schema).load(path)

@@ -106,15 +106,17 @@ def xml_ingest_split(spark, sf_dir):
 
 
 @query("xml_to_table_form", detector_sql() + """
-SELECT oid, t AS time, count(*) AS n_vehicles FROM vehicle GROUP BY oid, t""")
+SELECT oid, t AS time, count(*) AS n_vehicles, CAST(sum(volume) AS BIGINT) AS volume FROM vehicle GROUP BY oid, t""")
 def xml_to_table_form(spark, sf_dir):
     """Detector documents through the generic path: field maps, keys, JSON lists, typed columns."""
     cls = CLASSES["VDLive"]
     keyed = upsert.key_batch(parsed(detector_documents(spark, sf_dir).withColumn("batch_no", F.col("batch_no").cast("string")), cls), cls)
     typed = upsert.merge_typed(spark.createDataFrame([], cls.schema), upsert.accepted(keyed), cls)
-    vehicles = F.aggregate("LinkFlows", F.lit(0), lambda acc, k: acc + F.aggregate(
-        k["Lanes"], F.lit(0), lambda n, x: n + F.size(x["Vehicles"])))
-    return typed.select(F.col("VDID").alias("oid"), ntz("DataCollectTime", "time"), vehicles.cast("bigint").alias("n_vehicles"))
+    counts = F.flatten(F.flatten(F.transform("LinkFlows", lambda k: F.transform(
+        k["Lanes"], lambda x: F.transform(x["Vehicles"], lambda v: v["Volume"])))))
+    return typed.select(
+        F.col("VDID").alias("oid"), ntz("DataCollectTime", "time"), F.size(counts).cast("bigint").alias("n_vehicles"),
+        F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias("volume"))
 
 
 @query("xml_generic", """
