@@ -9,12 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.catalog import CLASSES, RecordClass, authority, record_class
+from flowtables.catalog import RecordClass, authority, record_class
 from flowtables.functions.timecols import instant_literal, iso_text
 from flowtables.operators import upsert
 from flowtables.sources.scratch import scratch_path
 
-PARTITIONS = "authority string, dataclass string, dt date"
 # Periods listed on the driver to prune an upsert's target; a batch over more of them reads the whole class.
 MAX_PRUNED_PERIODS = 5000
 
@@ -23,23 +22,25 @@ def period(cls: RecordClass, time: Column) -> Column:
     return F.to_date(time) if cls.is_live else F.trunc(time, "year")
 
 
-def scan_all(spark: SparkSession, root: str, cls: RecordClass) -> DataFrame:
-    return spark.read.schema(f"{cls.schema}, {PARTITIONS}").parquet(root)
-
-
 def scan(spark: SparkSession, root: str, authority_name: str, dataclass: str, *, since=None, until=None) -> DataFrame:
     """One class of one authority; with ``since`` and ``until`` only the periods that can hold such times.
 
-    Only the matching partitions are listed and read. The exact time filter is the reader's.
+    Only the folders of that class are listed and only the matching periods read. The exact time filter
+    is the reader's. A class that was never written is empty.
     """
     cls = record_class(dataclass)
-    table = scan_all(spark, root, cls)
-    chosen = (F.col("authority") == authority(authority_name)) & (F.col("dataclass") == dataclass)
+    folder = f"{root.rstrip('/')}/authority={authority(authority_name)}/dataclass={dataclass}"
+    try:
+        table = spark.read.schema(f"{cls.schema}, dt date").parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], f"{cls.schema}, dt date")
     if since is not None:
-        chosen &= F.col("dt") >= period(cls, instant_literal(since))
+        table = table.where(F.col("dt") >= period(cls, instant_literal(since)))
     if until is not None:
-        chosen &= F.col("dt") <= period(cls, instant_literal(until))
-    return table.where(chosen).drop("authority", "dataclass")
+        table = table.where(F.col("dt") <= period(cls, instant_literal(until)))
+    return table
 
 
 def read_external(spark: SparkSession, source: str, **options) -> DataFrame:
@@ -60,15 +61,6 @@ def write(table: DataFrame, root: str, cls: RecordClass, *, mode: str = "append"
      .partitionBy("authority", "dataclass", "dt").parquet(root))
 
 
-def _current(spark: SparkSession, root: str, authority_name: str, cls: RecordClass) -> DataFrame:
-    try:
-        return scan(spark, root, authority_name, cls.name)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], f"{cls.schema}, dt date")
-
-
 def upsert_into(spark: SparkSession, root: str, authority_name: str, dataclass: str, batch: DataFrame) -> None:
     """Upsert a keyed batch into the table, rewriting only the periods the batch touches.
 
@@ -82,7 +74,7 @@ def upsert_into(spark: SparkSession, root: str, authority_name: str, dataclass:
     periods = [row.dt for row in touched.collect()]
     if not periods:
         return
-    target = _current(spark, root, authority_name, cls)
+    target = scan(spark, root, authority_name, dataclass)
     if len(periods) <= MAX_PRUNED_PERIODS:
         target = target.where(F.col("dt").isin(periods))
     merged = upsert.merge_typed(target.drop("dt"), batch, cls).withColumn("authority", F.lit(authority_name))
@@ -94,7 +86,7 @@ def upsert_into(spark: SparkSession, root: str, authority_name: str, dataclass:
 def append_new(spark: SparkSession, root: str, authority_name: str, dataclass: str, batch: DataFrame) -> None:
     """Insert-if-absent: records whose key the table lacks."""
     cls = record_class(dataclass)
-    target = _current(spark, root, authority_name, cls)
+    target = scan(spark, root, authority_name, dataclass)
     keys = target.select(F.col(cls.id_field).alias("id"), F.col(cls.time_field).alias("time"))
     fresh = upsert.new_only(keys, upsert.accepted(batch)).withColumn("seq", F.lit(0))
     empty = spark.createDataFrame([], cls.schema)
@@ -117,6 +109,3 @@ def xml_rows(table: DataFrame, row_tag: str, *times: str) -> DataFrame:
     for name in times:
         shown = shown.withColumn(name, iso_text(F.col(name)))
     return shown.select(F.to_xml(F.struct("*"), {"rowTag": row_tag, "nullValue": ""}).alias("xml"))
-
-
-__all__ = ["CLASSES", "append_new", "json_rows", "read_external", "scan", "scan_all", "upsert_into", "write", "xml_rows"]
