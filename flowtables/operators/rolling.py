@@ -93,20 +93,24 @@ def _link_readings(links: Column, valid: Column, first: Column, rolling: int) ->
 
 
 def roll(minutes: DataFrame, *, start: int, end: int, interval: int = 1, rolling: int = 1,
-         empty_windows: bool = False, fill_template: bool = False, descending: bool = False) -> DataFrame:
+         empty_windows: bool = False, fill_template: bool = False, detectors: DataFrame | None = None,
+         descending: bool = False) -> DataFrame:
     """Windows over one record per detector and minute: VDID, minute (the slot), DataStatus, LinkFlows.
 
     ``empty_windows`` adds the windows without a usable record, with the template's blanked links when
-    ``fill_template`` is set and without links otherwise.
+    ``fill_template`` is set and without links otherwise. ``detectors`` (VDID) may name the detectors of
+    ``minutes`` where a narrow scan knows them.
     """
     sums = window_sums(contributions(minutes, count_abnormal=empty_windows),
                        start=start, end=end, interval=interval, rolling=rolling)
     blank = F.lit(None).cast("array<struct<LinkID: string, Volume: double, Speed: double, Occupancy: double>>")
     parts = sums.withColumn("Template", blank)
     if empty_windows:
-        detectors = (templates(minutes, descending=descending) if fill_template
-                     else minutes.select("VDID").distinct().withColumn("Template", blank))
-        grid = minute_grid(detectors, first_slot(start, interval, rolling), end, interval)
+        if fill_template:
+            known = templates(minutes, descending=descending)
+        else:
+            known = (minutes if detectors is None else detectors).select("VDID").distinct().withColumn("Template", blank)
+        grid = minute_grid(known, first_slot(start, interval, rolling), end, interval)
         parts = parts.unionByName(
             grid.select("VDID", F.col("minute").alias("slot"), F.lit(False).alias("is_link"), "Template",
                         F.lit(0).cast("bigint").alias("valid"), F.lit(0).cast("bigint").alias("abnormal")),

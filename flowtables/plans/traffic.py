@@ -76,10 +76,11 @@ def time_range(records: DataFrame, sdate, edate, *, m_pce=1.0, s_pce=1.0, l_pce=
     elif every_minute and error_process == 2:
         result = grid.fill_missing_minutes(minutes, first, last, descending=sort == -1)
     else:
+        scanned = lookup.in_range(records, DETECTOR, back_minutes(sdate, time_rolling - 1), edate)
         result = rolling.roll(
             minutes, start=first, end=last, interval=time_interval, rolling=time_rolling,
             empty_windows=null_time == 1 and error_process != 1, fill_template=error_process == 2,
-            descending=sort == -1)
+            detectors=scanned.select("VDID"), descending=sort == -1)
     return _in_order(result.withColumn("Time", minute_instant(F.col("minute"))).select(*RESULT), sort, "Time")
 
 

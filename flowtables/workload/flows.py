@@ -314,13 +314,51 @@ def repair_linear(spark, sf_dir):
     return minute_rows_flat(repair.repair_report(minutes, minute_of(sdate), minute_of(edate)))
 
 
+@query("time_range_repaired", windows_sql(1, 1, **SQL_PCE) + _CELLS + f"""
+, fixed AS (
+  SELECT a.oid, a.minute, a.link_id, {', '.join(f"lo.{c} + (hi.{c} - lo.{c}) * (date_diff('minute', m1, a.minute) / date_diff('minute', m1, m2)) AS {c}" for c in ('volume', 'speed', 'occupancy'))}
+  FROM around a JOIN valid lo ON lo.oid = a.oid AND lo.link_id = a.link_id AND lo.minute = m1
+  JOIN valid hi ON hi.oid = a.oid AND hi.link_id = a.link_id AND hi.minute = m2
+  WHERE NOT is_valid AND (ds IS NULL OR ds = 2)),
+every AS (SELECT oid, minute, link_id, volume, speed, occupancy, 0 AS status FROM valid
+          UNION ALL SELECT oid, minute, link_id, volume, speed, occupancy, 3 FROM fixed),
+whole AS (SELECT * FROM p CROSS JOIN (SELECT DISTINCT oid FROM fst)),
+grid AS (SELECT oid, unnest(generate_series(sdate, edate, INTERVAL 1 MINUTE)) AS minute FROM whole)
+SELECT g.oid, g.minute AS time, coalesce(e.status, CASE WHEN f.ds = 2 THEN 2 ELSE 1 END) AS status, e.link_id,
+       round(e.volume, 6) AS volume,
+       round(CASE WHEN e.volume = 0 THEN 0 ELSE e.speed END, 6) AS speed, round(e.occupancy, 6) AS occupancy
+FROM grid g LEFT JOIN every e ON e.oid = g.oid AND e.minute = g.minute LEFT JOIN fst f ON f.oid = g.oid AND f.minute = g.minute""")
+def time_range_repaired(spark, sf_dir):
+    """Every minute of the range with abnormal and missing ones interpolated where a link's neighbours allow."""
+    return range_query(spark, sf_dir, error_process=30, null_time=1, **PCE)
+
+
 def minute_rows_flat(cells: DataFrame) -> DataFrame:
     return cells.select(
         F.col("VDID").alias("oid"), ntz(minute_instant(F.col("minute")), "time"), F.col("DataStatus").alias("status"),
         F.col("LinkID").alias("link_id"), r6("Volume", "volume"), r6("Speed", "speed"), r6("Occupancy", "occupancy"))
 
 
-@query("repair_poly")
+def _cubic_sql(column: str) -> str:
+    at = "date_diff('minute', m1, a.minute)::DOUBLE"
+    x = ["date_diff('minute', m1, q.m0)::DOUBLE", "0", "date_diff('minute', m1, q.n1)::DOUBLE", "date_diff('minute', m1, q.n2)::DOUBLE"]
+    y = [f"q.{column}_{i}" for i in range(4)]
+    terms = [y[i] + "".join(f" * ({at} - {x[j]}) / ({x[i]} - {x[j]})" for j in range(4) if j != i) for i in range(4)]
+    linear = f"{y[1]} + ({y[2]} - {y[1]}) * ({at} / {x[2]})"
+    return f"""round(CASE WHEN is_valid THEN a.{column} WHEN m1 IS NULL OR m2 IS NULL THEN -1
+      WHEN q.m0 IS NULL OR q.n2 IS NULL THEN {linear} ELSE {' + '.join(terms)} END, 6) AS {column}"""
+
+
+@query("repair_poly", minutes_sql(**SQL_PCE) + _CELLS + f"""
+, q AS (
+  SELECT oid, link_id, minute, lag(minute) OVER w AS m0, lead(minute) OVER w AS n1, lead(minute, 2) OVER w AS n2,
+         {', '.join(f'lag({c}) OVER w AS {c}_0, {c} AS {c}_1, lead({c}) OVER w AS {c}_2, lead({c}, 2) OVER w AS {c}_3'
+                    for c in ('volume', 'speed', 'occupancy'))}
+  FROM valid WINDOW w AS (PARTITION BY oid, link_id ORDER BY minute))
+SELECT a.oid, a.minute AS time, CASE WHEN is_valid THEN 0 WHEN m1 IS NOT NULL AND m2 IS NOT NULL THEN 3 WHEN ds = 2 THEN 2 ELSE 1 END AS status,
+       a.link_id, {', '.join(map(_cubic_sql, ('volume', 'speed', 'occupancy')))}
+FROM around a LEFT JOIN q ON q.oid = a.oid AND q.link_id = a.link_id AND q.minute = m1
+WHERE is_valid OR ds IS NULL OR ds = 2""")
 def repair_poly(spark, sf_dir):
     sdate, edate = bounds(spark, sf_dir)
     minutes = range_minutes(spark, sf_dir, **PCE)
