@@ -43,24 +43,19 @@ def _filled(text: Column) -> Column:
 
 
 def _links(flows: Column, number) -> Column:
-    """LinkFlows as arrays all the way down; ``number`` types a reading."""
+    """LinkFlows as arrays all the way down; ``number`` types a reading. Typed lanes keep no lane labels."""
 
     def vehicle(v):
         return F.struct(v["VehicleType"].alias("VehicleType"), number(v["Volume"], "bigint").alias("Volume"),
                         number(_filled(v["Speed"]), "double").alias("Speed"))
 
     def lane(x):
-        return F.struct(number(x["Speed"], "double").alias("Speed"), number(x["Occupancy"], "double").alias("Occupancy"),
+        names = [] if number is _typed else [x["LaneID"].alias("LaneID"), x["LaneType"].alias("LaneType")]
+        return F.struct(*names, number(x["Speed"], "double").alias("Speed"), number(x["Occupancy"], "double").alias("Occupancy"),
                         F.transform(x["Vehicles"]["Vehicle"], vehicle).alias("Vehicles"))
 
-    def labelled(x):
-        names = [x["LaneID"].alias("LaneID"), x["LaneType"].alias("LaneType")]
-        return F.struct(*names, lane(x)["Speed"].alias("Speed"), lane(x)["Occupancy"].alias("Occupancy"),
-                        F.transform(x["Vehicles"]["Vehicle"], vehicle).alias("Vehicles"))
-
-    per_lane = lane if number is _typed else labelled
     return F.transform(flows["LinkFlow"], lambda link: F.struct(
-        link["LinkID"].alias("LinkID"), F.transform(link["Lanes"]["Lane"], per_lane).alias("Lanes")))
+        link["LinkID"].alias("LinkID"), F.transform(link["Lanes"]["Lane"], lane).alias("Lanes")))
 
 
 def _typed(text: Column, kind: str) -> Column:
@@ -110,7 +105,8 @@ def parse_documents(texts: DataFrame, column: str, cls: RecordClass) -> DataFram
         def put(fields, record):
             name, items = _flat_list(cls, record)
             others = F.map_filter(fields, lambda k, v: k != name)
-            return F.when(items.isNull(), others).otherwise(F.map_concat(others, F.create_map(F.lit(name), items)))
+            given = F.map_filter(F.create_map(F.lit(name), items), lambda k, v: v.isNotNull())
+            return F.map_concat(others, given)
 
         records = F.zip_with(records, F.col("_nested")[cls.container][cls.name], put)
     header = F.struct(*[F.col("_doc")[name].alias(name) for name in (part.split()[0] for part in HEADER.split(", "))])
