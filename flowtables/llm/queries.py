@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtables.llm import chunk_dedup, preference_chat, secret_scan
+from flowtables.llm import bestfit_packing, chunk_dedup, preference_chat, secret_scan, training_order
+
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(table(spark, sf_dir, "documents"), training_order.new_root(spark), WORD_BPE, seed=20)
+
+
+def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.empty_ledger(spark)))
 
@@ -27,6 +38,8 @@ def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_training_order": token_shards,
+    "op3_best_fit_packing": best_fit_packing,
     "op6_secret_scan": secret_spans,
     "op8_exact_dedup": exact_dedup,
     "op9_preference_format": preference_format,
