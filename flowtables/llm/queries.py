@@ -7,9 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowtables.llm import bestfit_packing, chunk_dedup, preference_chat, secret_scan, training_order
+from flowtables.llm import (
+    backtrack_bpe,
+    bestfit_packing,
+    chunk_dedup,
+    language_id,
+    preference_chat,
+    secret_scan,
+    training_order,
+)
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +29,20 @@ def token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.materialise(table(spark, sf_dir, "documents"), training_order.new_root(spark), WORD_BPE, seed=20)
 
 
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.fitted(docs.filter(~language_id.held_out()).select("text", "lang"))
+    return language_id.predicted(docs, model).withColumn("held_out", language_id.held_out())
+
+
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit_packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtrack_bpe.round_trips(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.empty_ledger(spark)))
 
@@ -39,7 +58,9 @@ def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_training_order": token_shards,
+    "op2_language_id": language,
     "op3_best_fit_packing": best_fit_packing,
+    "op4_bpe_round_trip": bpe_round_trip,
     "op6_secret_scan": secret_spans,
     "op8_exact_dedup": exact_dedup,
     "op9_preference_format": preference_format,
