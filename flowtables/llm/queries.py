@@ -12,6 +12,7 @@ from flowtables.llm import (
     bestfit_packing,
     chunk_dedup,
     language_id,
+    minhash_dedup,
     preference_chat,
     secret_scan,
     training_order,
@@ -43,6 +44,10 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backtrack_bpe.round_trips(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.empty_ledger(spark)))
 
@@ -61,11 +66,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": language,
     "op3_best_fit_packing": best_fit_packing,
     "op4_bpe_round_trip": bpe_round_trip,
+    "op5_minhash_dedup": near_dedup,
     "op6_secret_scan": secret_spans,
     "op8_exact_dedup": exact_dedup,
     "op9_preference_format": preference_format,
 }
 ORACLES: dict[str, str] = {
+    "op5_minhash_dedup": minhash_dedup.SQL,
     "op6_secret_scan": secret_scan.SQL,
     "op8_exact_dedup": chunk_dedup.SQL,
     "op9_preference_format": preference_chat.SQL,
