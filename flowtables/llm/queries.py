@@ -15,7 +15,9 @@ from flowtables.llm import (
     minhash_dedup,
     preference_chat,
     secret_scan,
+    substring_dedup,
     training_order,
+    vector_dedup,
 )
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -52,10 +54,18 @@ def secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.empty_ledger(spark)))
 
 
+def embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preference_chat.answer_swaps(preference_chat.conversations_of(table(spark, sf_dir, "conversations")))
     return preference_chat.digest(preference_chat.format_pairs(pairs))
@@ -68,12 +78,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_round_trip": bpe_round_trip,
     "op5_minhash_dedup": near_dedup,
     "op6_secret_scan": secret_spans,
+    "op7_embedding_dedup": embedding_dedup,
     "op8_exact_dedup": exact_dedup,
     "op9_preference_format": preference_format,
+    "op10_substring_dedup": passage_dedup,
 }
 ORACLES: dict[str, str] = {
     "op5_minhash_dedup": minhash_dedup.SQL,
     "op6_secret_scan": secret_scan.SQL,
+    "op7_embedding_dedup": vector_dedup.SQL,
     "op8_exact_dedup": chunk_dedup.SQL,
     "op9_preference_format": preference_chat.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
 }
