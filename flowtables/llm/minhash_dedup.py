@@ -1,9 +1,9 @@
 """Near-duplicate documents: MinHash bands find candidates, full shingle sets confirm them, components join them.
 
-Equal sets are one node from the start. In each bucket of a band all nodes are first confirmed against the bucket's smallest
-one; where that leaves a bucket in several components, the pairs between components are compared by signature, in blocks
-inside tasks, and only those that look alike are confirmed. So a large group of near copies costs its size, not its square,
-and no pair that shares a band is left out.
+Equal sets are one node from the start. In each bucket of a band the nodes are first confirmed against the one whose
+signature is nearest to what most have. Where that leaves a bucket in several components, the pairs between components are
+compared by signature and set, in blocks inside tasks, and only links leave these. So a large group of near copies moves
+its size, not its square, and no pair that shares a band is left out.
 """
 
 from __future__ import annotations
@@ -77,30 +77,19 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, set`` (binary) of the documents whose ids are given."""
+    """``doc_id, set, short`` (64-bit hashes, and their upper halves) of the documents whose ids are given."""
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(text, hashes).tobytes() for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["doc_id", "set"])
-
-    return chosen.mapInArrow(run, f"doc_id {kind}, set binary").dropDuplicates(["doc_id"])
-
-
-def agreeing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (``a, b``) whose signatures agree often enough."""
-    joined = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("s")), "a").join(
-        sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("t")), "b").select("a", "b", "s", "t")
-
-    def run(batches):
-        for batch in batches:
-            s, t = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "uint8").reshape(-1, BANDS * ROWS) for c in "st")
-            yield batch.filter(pa.array((s == t).sum(axis=1) >= LEAST_AGREEING)).select(["a", "b"])
+            sets = [shingles(text, hashes) for text in batch.column(1).to_pylist()]
+            short = [(s >> np.uint64(32)).astype("uint32").tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary())], ["doc_id", "set", "short"])
 
-    return joined.mapInArrow(run, pairs.select("a", "b").schema)
+    return chosen.mapInArrow(run, f"doc_id {kind}, set binary, short binary").dropDuplicates(["doc_id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -122,39 +111,98 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def between_components(members: DataFrame, sketches: DataFrame, schema) -> DataFrame:
-    """Pairs of one bucket but different components whose signatures agree often enough."""
-    mixed_buckets = members.groupBy("band", "key").agg(
-        F.min("component").alias("low_c"), F.max("component").alias("high_c"), F.count(F.lit(1)).alias("size"))
-    mixed_buckets = mixed_buckets.filter("low_c <> high_c").select("band", "key", "size")
-    rows = members.join(mixed_buckets, ["band", "key"]).join(sketches.select("doc_id", "sketch"), "doc_id")
-    rows = in_blocks(rows.select("band", "key", "doc_id", "component", "sketch", "size"), ["band", "key"], "size", "doc_id")
+GROUP = ["band", "key", "low", "high"]
+
+
+def _alike(rows: DataFrame, chosen, schema) -> DataFrame:
+    """Different pairs (``a > b``) of the row pairs that ``chosen(new, table, sketch)`` gives; ``new``: where a group begins."""
 
     def run(batches):
-        for table in whole_groups(batches, ["band", "key", "low", "high"]):
-            cols = {c: table.column(c).to_numpy() for c in ("band", "key", "low", "high", "block", "component")}
+        for table in whole_groups(batches, GROUP):
             ids = table.column("doc_id").to_numpy()
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "uint8").reshape(-1, BANDS * ROWS)
             new = np.ones(len(ids), bool)
-            new[1:] = np.any([cols[c][1:] != cols[c][:-1] for c in ("band", "key", "low", "high")], axis=0)
-            first, second = [], []
-
-            def test(i, j, cols=cols, sketch=sketch, first=first, second=second):
-                tried = (cols["component"][i] != cols["component"][j]) & (
-                    (cols["low"][i] == cols["high"][i]) | (cols["block"][i] != cols["block"][j]))
-                i, j = i[tried], j[tried]
-                alike = (sketch[i] == sketch[j]).sum(axis=1) >= LEAST_AGREEING
-                first.append(i[alike])
-                second.append(j[alike])
-
-            pairs_within(new, test)
-            if first:
-                x, y = ids[np.concatenate(first)], ids[np.concatenate(second)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["a", "b"])
+            new[1:] = np.any([c[1:] != c[:-1] for c in (table.column(g).to_numpy() for g in GROUP)], axis=0)
+            i, j = chosen(new, table, sketch)
+            if len(i):
+                i, j = ids[i], ids[j]
+                found = np.unique(np.stack([np.maximum(i, j), np.minimum(i, j)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     return rows.mapInArrow(run, schema).distinct()
 
 
+def to_centers(members: DataFrame, sketches: DataFrame, schema) -> DataFrame:
+    """Every bucket's members with the one whose signature is nearest to what most of them have, where both look alike."""
+
+    def chosen(new, table, sketch):
+        begins = [*np.nonzero(new)[0], len(new)]
+        columns = np.arange(sketch.shape[1]) * 256
+        pairs = []
+        for begin, end in zip(begins, begins[1:], strict=False):
+            own = sketch[begin:end]
+            common = np.bincount((own + columns).ravel(), minlength=len(columns) * 256).reshape(-1, 256).argmax(axis=1) if end - begin > 2 else own[0]
+            center = (own == common).sum(axis=1).argmax()
+            alike = np.nonzero((own == own[center]).sum(axis=1) >= LEAST_AGREEING)[0]
+            alike = alike[alike != center] + begin
+            pairs.append((alike, np.full(len(alike), center + begin)))
+        return (np.concatenate(x) for x in zip(*pairs, strict=True))
+
+    rows = members.join(sketches.select("doc_id", "sketch"), "doc_id").select("band", "key", "doc_id", "sketch", "size")
+    return _alike(in_blocks(rows, ["band", "key"], "size", "doc_id"), lambda *x: tuple(chosen(*x)), schema)
+
+
+def between_components(members: DataFrame, sketches: DataFrame, sets: DataFrame, schema) -> DataFrame:
+    """All pairs of one bucket but different components whose signatures agree often enough and whose sets are similar enough,
+    as far as half of each hash can tell. Each pair is tried in the first band only that both share."""
+    several = members.groupBy("band", "key").agg(F.min("component").alias("low_c"), F.max("component").alias("high_c"))
+    several = several.filter("low_c <> high_c").select("band", "key")
+    rows = members.join(several, ["band", "key"], "left_semi").join(sketches.select("doc_id", "sketch", "keys"), "doc_id").join(
+        sets.select("doc_id", "short"), "doc_id").select("band", "key", "doc_id", "component", "sketch", "keys", "short", "size")
+
+    def chosen(new, table, sketch):
+        component, block, band, low, high = (table.column(c).to_numpy() for c in ("component", "block", "band", "low", "high"))
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        short = table.column("short").to_pylist()
+        sizes = np.array([len(x) // 4 for x in short])
+        first, second = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+
+        def test(i, j):
+            tried = (component[i] != component[j]) & ((low[i] == high[i]) | (block[i] != block[j]))
+            tried &= DENOMINATOR * np.minimum(sizes[i], sizes[j]) >= NUMERATOR * np.maximum(sizes[i], sizes[j])
+            i, j = i[tried], j[tried]
+            alike = (sketch[i] == sketch[j]).sum(axis=1) >= LEAST_AGREEING
+            i, j = i[alike], j[alike]
+            alike = ~((keys[i] == keys[j]) & (np.arange(BANDS) < band[i][:, None])).any(axis=1)
+            first.append(i[alike])
+            second.append(j[alike])
+
+        pairs_within(new, test)
+        i, j = np.concatenate(first), np.concatenate(second)
+        if not len(i):
+            return i, j
+        used = np.unique(np.concatenate([i, j]))
+        at = np.zeros(len(sizes), "int64")
+        at[used] = np.arange(len(used))
+        values, numbers = np.unique(np.concatenate([np.frombuffer(short[k], "uint32") for k in used]), return_inverse=True)
+        parts = np.split(numbers, np.cumsum(sizes[used])[:-1])
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        keep = []
+        has = np.zeros(len(values), bool)
+        for run in np.split(np.arange(len(i)), np.nonzero(np.diff(i))[0] + 1):  # all partners of one row at once
+            own, others = parts[at[i[run[0]]]], j[run]
+            has[own] = True
+            lengths = sizes[others]
+            common = np.add.reduceat(has[np.concatenate([parts[at[k]] for k in others])].astype("int64"), np.cumsum(lengths) - lengths)
+            has[own] = False
+            keep.append(DENOMINATOR * common >= NUMERATOR * (sizes[i[run]] + lengths - common))
+        keep = np.concatenate(keep)
+        return i[keep], j[keep]
+
+    return _alike(in_blocks(rows, ["band", "key"], "size", "doc_id"), chosen, schema)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -170,15 +218,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         filled.join(same.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
         .select("doc_id", "keys", "sketch").dropDuplicates(["doc_id"]), "reps")
     banded = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))
-    shared = banded.groupBy("band", "key").agg(F.min("doc_id").alias("center"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(banded.join(shared.drop("size"), ["band", "key"]), "members")
+    shared = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = stored(banded.join(shared, ["band", "key"]), "members")
     sets = stored(full_sets(docs, members.select("doc_id").distinct(), id_col, text_col), "sets")
-    to_center = members.filter("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
-    links = stored(confirmed(agreeing(to_center, reps), sets), "links")
-    joined = components(links)
+    links = docs.select(F.col(id_col).alias("a"), F.col(id_col).alias("b")).schema
+    centered = to_centers(members, reps, links)
+    joined = components(stored(confirmed(centered, sets), "links"))
     labelled = members.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
         "component", F.coalesce("component", "doc_id"))
-    more = stored(confirmed(between_components(labelled, reps, links.schema), sets), "links")
+    more = stored(confirmed(between_components(labelled, reps, sets, links), sets), "links")
     found = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     classes = same.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "h1", "h2", F.col("n_shingles").alias("n"), F.coalesce("component", "rep").alias("component_id"))
