@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtables.llm.blocks import in_blocks, whole_groups
+from flowtables.llm.blocks import in_blocks, pairs_within, whole_groups
 from flowtables.llm.components import components
 from flowtables.llm.stage import stored
 
@@ -63,37 +63,35 @@ def coded(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, f"{fields}, code binary, factor double, keys array<int>")
 
 
-def exact_rows(table: pa.Table) -> np.ndarray:
-    v = np.array(table.column("embedding").to_pylist(), "float64")
-    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
-
-
-def linked_in_block(table: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the linked pairs of one pair of blocks, each in the first table only that both share."""
-    keys = np.array(table.column("keys").to_pylist(), "int32")
-    block, now = table.column("block").to_numpy(), int(table.column("table")[0].as_py())
-    across = int(table.column("low")[0].as_py()) != int(table.column("high")[0].as_py())
-    unit = exact_rows(table)
+def linked_rows(table: pa.Table, new: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the linked pairs of rows of vectors of one size; ``new``: where a pair of blocks begins. Each pair is
+    taken in the first table only that both share."""
+    block, low, high, now = (table.column(c).to_numpy() for c in ("block", "low", "high", "table"))
+    n = table.num_rows
+    keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    unit = table.column("embedding").combine_chunks().flatten().to_numpy().astype("float64").reshape(n, -1)
+    unit /= np.sqrt(np.einsum("ij,ij->i", unit, unit))[:, None]
     d = unit.shape[1]
-    turned = unit @ rotation_of(d).T
-    signs = np.where(np.unpackbits(np.frombuffer(b"".join(table.column("code").to_pylist()), "uint8").reshape(len(keys), -1), axis=1)[:, :d], 1.0, -1.0)
+    turned = unit @ rotation_of(d).T / np.sqrt(d)
+    code = np.frombuffer(b"".join(table.column("code").to_pylist()), "uint8").reshape(n, -1)
+    signs = np.where(np.unpackbits(code, axis=1)[:, :d], 1.0, -1.0)
     factor = table.column("factor").to_numpy()
     error = ERRORS * np.sqrt((1 - threshold**2) * np.maximum(1 - factor**2, 0) / factor**2 / max(d - 1, 1))
-    left, right = [], []
-    for begin in range(0, len(keys), 256):
-        some = slice(begin, begin + 256)
-        bound = (turned[some] @ signs.T) / np.sqrt(d) / factor + error  # estimates of the cosine, and how far they may be off
-        i, j = np.nonzero(bound >= threshold)
-        i += begin
-        keep = i < j
-        if across:
-            keep &= block[i] != block[j]
-        i, j = i[keep], j[keep]
-        keep = ~(keys[i, :now] == keys[j, :now]).any(axis=1)
-        i, j = i[keep], j[keep]
-        keep = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
-        left.append(i[keep])
-        right.append(j[keep])
+    left, right = [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+
+    def test(i, j):
+        tried = (low[i] == high[i]) | (block[i] != block[j])
+        i, j = i[tried], j[tried]
+        estimate = np.einsum("ij,ij->i", turned[i], signs[j]) / factor[j]  # unbiased; off by more than the error only rarely
+        near = estimate + error[j] >= threshold
+        i, j = i[near], j[near]
+        seen = ((keys[i] == keys[j]) & (np.arange(keys.shape[1]) < now[i][:, None])).any(axis=1)
+        i, j = i[~seen], j[~seen]
+        near = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+        left.append(i[near])
+        right.append(j[near])
+
+    pairs_within(new, test)
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -129,21 +127,18 @@ def links(members: DataFrame, threshold: float) -> DataFrame:
             cols = [table.column(c).to_numpy() for c in group]
             new = np.ones(table.num_rows, bool)
             new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-            begins = [*np.nonzero(new)[0], table.num_rows]
-            ids, weight = table.column("vec_id").to_numpy(), table.column("weight").to_numpy()
-            out = []
-            for begin, end in zip(begins, begins[1:], strict=False):
-                if end - begin < 2:
-                    continue
-                i, j = linked_in_block(table.slice(begin, end - begin), threshold)
+            dims = cols[group.index("dims")]
+            edges = [0, *np.nonzero(np.diff(dims))[0] + 1, table.num_rows]
+            for begin, end in zip(edges, edges[1:], strict=False):
+                part = table.slice(begin, end - begin)
+                i, j = linked_rows(part, new[begin:end], threshold)
                 if len(i):
-                    n, own = np.zeros(end - begin, "int64"), ids[begin:end]
-                    np.add.at(n, i, weight[begin:end][j])
-                    np.add.at(n, j, weight[begin:end][i])
-                    root = own[roots_of(end - begin, i, j)]
-                    out.append((own[n > 0], n[n > 0], root[n > 0]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["vec_id", "n_links", "root"])
+                    ids, weight = part.column("vec_id").to_numpy(), part.column("weight").to_numpy()
+                    n = np.zeros(len(ids), "int64")
+                    np.add.at(n, i, weight[j])
+                    np.add.at(n, j, weight[i])
+                    root = ids[roots_of(len(ids), i, j)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(n[n > 0]), pa.array(root[n > 0])], ["vec_id", "n_links", "root"])
 
     return members.mapInArrow(run, "vec_id long, n_links long, root long")
 
