@@ -2,8 +2,10 @@
 
 Windows of 20 words are hashed only at positions that fall on a difference cover modulo 31: of any two positions, some shift
 under 31 takes both onto the cover. So two equal windows of 50 words, wherever they stand, hold an equal anchor at the same
-place. Anchors found in one document only go; from the others the match is extended to the 50-word windows around them, and
-each such window's hash is grouped with its smallest document. Groups are aggregated, never paired.
+place. First only the hashes are counted, once for each batch of documents, so an anchor of very many documents moves little.
+Of the anchors themselves only those leave their task whose hash may be shared: a filter of fixed size says so, and a join
+makes it exact. From them the match is extended to the 50-word windows around, and each such window's hash is grouped with
+its smallest document. Groups are aggregated, never paired.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two members
 ANCHOR = WINDOW - PERIOD + 1
 SEED = 90
+FILTER_BITS = 25
 
 
 def anchor_places(n: int) -> np.ndarray:
@@ -42,25 +45,65 @@ def summed(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-def anchors(texts: DataFrame) -> DataFrame:
-    """``hash, doc_id, place`` of every anchor."""
+def _anchors_of(batch, hashes: WordHashes):
+    """``hash, row, place`` arrays of all anchors of a batch of ``doc_id, text``."""
+    found, rows, at = [np.zeros(0, "uint64")], [np.zeros(0, "int64")], [np.zeros(0, "int64")]
+    for row, text in enumerate(batch.column(1).to_pylist()):
+        words = words_of(text)
+        places = anchor_places(len(words))
+        if len(places):
+            found.append(window_hashes(hashes(words), places, ANCHOR, SEED))
+            rows.append(np.full(len(places), row))
+            at.append(places)
+    return np.concatenate(found), np.concatenate(rows), np.concatenate(at)
+
+
+def shared_hashes(texts: DataFrame) -> DataFrame:
+    """``hash`` of the anchors that occur in several documents (also of rows repeated with their id)."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            found, rows, _ = _anchors_of(batch, hashes)
+            order = np.lexsort((rows, found))
+            found, rows = found[order], rows[order]
+            first = np.ones(len(found), bool)
+            first[1:] = found[1:] != found[:-1]
+            several = np.zeros(len(found), bool)
+            several[1:] = ~first[1:] & (rows[1:] != rows[:-1])
+            begins = np.nonzero(first)[0]
+            if len(begins):
+                n = 1 + np.logical_or.reduceat(several, begins).astype("int8")
+                yield pa.RecordBatch.from_arrays([pa.array(found[begins].view("int64")), pa.array(n)], ["hash", "n"])
+
+    counted = texts.mapInArrow(run, "hash long, n byte").groupBy("hash").agg(F.sum("n").alias("n"))
+    return counted.filter("n > 1").select("hash")
+
+
+def filter_bits(shared: DataFrame) -> np.ndarray:
+    """A bit for the first bits of every hash: at most ``2 ** FILTER_BITS`` bits come to the driver, whatever the table's size."""
+    top = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    words = shared.select(F.shiftright(top, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - FILTER_BITS}) & 63 as int))").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), "int64")
+    bits[rows["w"].to_numpy("int64")] = rows["b"].to_numpy("int64")
+    return bits.view("uint64")
+
+
+def anchors(texts: DataFrame, bits) -> DataFrame:
+    """``hash, doc_id, place`` of every anchor whose hash the filter lets through."""
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            found, rows, at = [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                words = words_of(text)
-                places = anchor_places(len(words))
-                if len(places):
-                    found.append(window_hashes(hashes(words), places, ANCHOR, SEED))
-                    rows.append(np.full(len(places), row))
-                    at.append(places.astype("int32"))
-            if found:
+            found, rows, at = _anchors_of(batch, hashes)
+            top = found >> np.uint64(64 - FILTER_BITS)
+            through = (bits.value[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1) == 1
+            if through.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view("int64")), batch.column(0).take(pa.array(np.concatenate(rows))),
-                     pa.array(np.concatenate(at))], ["hash", "doc_id", "place"])
+                    [pa.array(found[through].view("int64")), batch.column(0).take(pa.array(rows[through])),
+                     pa.array(at[through].astype("int32"))], ["hash", "doc_id", "place"])
 
     return texts.mapInArrow(run, f"hash long, doc_id {kind}, place int")
 
@@ -137,8 +180,8 @@ def repeated_passages(docs: DataFrame, with_text: bool = False, id_col: str = "d
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = texts.filter("doc_id is not null")
-    found = anchors(known)
-    shared = found.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hash")
+    shared = stored(shared_hashes(known), "shared")
+    found = anchors(known, docs.sparkSession.sparkContext.broadcast(filter_bits(shared)))
     places = found.join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     chosen = stored(known.join(stored(places, "places"), "doc_id"), "chosen")
     seen = stored(windows(chosen), "windows")

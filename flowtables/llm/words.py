@@ -12,24 +12,20 @@ class WordHashes:
     """Words are runs of other characters than ``[\\x20\\x09-\\x0D]``; each distinct word is hashed once."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known: dict[bytes, bytes] = {}
         self.size = 0
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         known = self.known
-        found = [known.get(w) for w in words]
-        if None in found:
+        new = set(words).difference(known)
+        if new:
             if self.size > CACHE_BYTES:
                 known = self.known = {}
-                self.size = 0
-            for k, h in enumerate(found):
-                if h is None:
-                    w = words[k]
-                    h = found[k] = xxhash.xxh3_64_intdigest(w)
-                    if len(w) < 64:
-                        known[w] = h
-                        self.size += 150 + len(w)
-        return np.array(found, "uint64")
+                self.size, new = 0, set(words)
+            for w in new:
+                known[w] = xxhash.xxh3_64_digest(w)
+            self.size += 180 * len(new) + sum(map(len, new))
+        return np.frombuffer(b"".join([known[w] for w in words]), "<u8")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
