@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from flowtables.llm.tokens import batches, read_spec
 
-CACHE_BYTES = 220 << 20
+CACHE_BYTES = 100 << 20
 #: The pattern of byte-level pre-tokenising, with white space as Unicode defines it.
 WORDS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
          r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")

@@ -9,8 +9,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-CACHE_BYTES = 96 << 20
-BATCH_BYTES = 4 << 20
+CACHE_BYTES = 40 << 20
+BATCH_BYTES = 2 << 20
 
 
 class StretchEncoder:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 40 << 20
 
 
 class WordHashes:
