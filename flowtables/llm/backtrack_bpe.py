@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from flowtables.llm.stage import small_batches
 from flowtables.llm.tokens import batches, read_spec
 
 CACHE_BYTES = 100 << 20
@@ -226,7 +227,7 @@ def round_trips(docs: DataFrame, tokenizer_path: str, with_ids: bool = False, id
     A null text is empty: no ids, empty decoded text. Rows without an id or repeated are encoded like others; other columns
     are not read, whatever their names.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    spec = small_batches(docs.sparkSession).sparkContext.broadcast(read_spec(tokenizer_path))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(incoming):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from flowtables.llm.stage import stored
+from flowtables.llm.stage import small_batches, stored
 from flowtables.llm.tokens import StretchEncoder, read_spec
 
 CAPACITY = 2048
@@ -30,7 +30,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
 
     ``with_ids`` adds the ids (little-endian unsigned 32-bit). A null or empty text is the end id alone.
     """
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    spec = small_batches(docs.sparkSession).sparkContext.broadcast(read_spec(tokenizer_path))
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
 

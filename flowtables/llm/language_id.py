@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowtables.llm.stage import small_batches
 from flowtables.llm.tokens import batches
 
 #: Bounds of the model: labelled texts a language in the sample (as expected by hashing), and entries over all languages.
@@ -128,7 +129,7 @@ def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: st
     Without labelled texts all are ``und``. Rows without an id or repeated are scored like others; other columns are not read,
     whatever their names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)  # bounded by MODEL_WORDS and MODEL_GRAMS
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(incoming):
@@ -155,7 +156,7 @@ def drop_unidentified(docs: DataFrame) -> DataFrame:
 
 
 def _with_prediction(docs: DataFrame, model: dict) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index("text")
 

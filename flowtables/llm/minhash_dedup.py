@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowtables.llm.blocks import in_blocks, pairs_within, whole_groups
 from flowtables.llm.components import components
-from flowtables.llm.stage import stored
+from flowtables.llm.stage import small_batches, stored
 from flowtables.llm.words import WordHashes, mixed, odd_numbers, window_hashes
 
 WIDTH = 5
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with nothing, and so is a row without an id (its component is null and it is kept). Rows repeated with their id are one
     document. Other columns are not read, whatever their names.
     """
+    small_batches(docs.sparkSession)
     signed = stored(signatures(docs, id_col, text_col), "signatures")
     filled = signed.filter("n_shingles > 0 and doc_id is not null")
     same = filled.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))

@@ -17,6 +17,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/llm-{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Texts are long: the batches that go to Python hold fewer of them than Spark's default of 10,000 rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return spark
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` once and read it back: cuts the lineage, and a lost executor costs only the reading tasks."""
     path = new_path(frame.sparkSession, label)

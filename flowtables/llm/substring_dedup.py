@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtables.llm.stage import stored
+from flowtables.llm.stage import small_batches, stored
 from flowtables.llm.words import WordHashes, window_hashes
 
 WINDOW = 50
@@ -178,10 +178,11 @@ def repeated_passages(docs: DataFrame, with_text: bool = False, id_col: str = "d
     A row without an id has no place in the order: it loses nothing and takes nothing. Rows repeated with their id are one
     document. Other columns are not read, whatever their names.
     """
+    spark = small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     known = texts.filter("doc_id is not null")
     shared = stored(shared_hashes(known), "shared")
-    found = anchors(known, docs.sparkSession.sparkContext.broadcast(filter_bits(shared)))
+    found = anchors(known, spark.sparkContext.broadcast(filter_bits(shared)))
     places = found.join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     chosen = stored(known.join(stored(places, "places"), "doc_id"), "chosen")
     seen = stored(windows(chosen), "windows")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtables.llm.stage import new_path, stored
+from flowtables.llm.stage import new_path, small_batches, stored
 from flowtables.llm.tokens import StretchEncoder, read_spec
 
 SEQUENCE = 2048
@@ -142,7 +142,7 @@ def materialise(docs: DataFrame, root: str, tokenizer_path: str, seed: int = 0,
     A null or empty text is an end id alone; rows without an id or repeated take part; an empty table gives no sequence;
     other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
     counts = _token_counts(texts, spec)
