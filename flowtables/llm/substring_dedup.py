@@ -4,8 +4,11 @@ Windows of 20 words are hashed only at positions that fall on a difference cover
 under 31 takes both onto the cover. So two equal windows of 50 words, wherever they stand, hold an equal anchor at the same
 place. First only the hashes are counted, once for each batch of documents, so an anchor of very many documents moves little.
 Of the anchors themselves only those leave their task whose hash may be shared: a filter of fixed size says so, and a join
-makes it exact. From them the match is extended to the 50-word windows around, and each such window's hash is grouped with
-its smallest document. Groups are aggregated, never paired.
+makes it exact. From them the match is extended to the 50-word windows around.
+
+Neighbouring windows are compared as runs first. A run ends where a window's hash says so, so equal stretches of text fall
+into equal runs. A run that a smaller document holds too is repeated as a whole, and what it holds also stands in that
+document; so only the first document's windows of each run are compared one by one. Groups are aggregated, never paired.
 """
 
 from __future__ import annotations
@@ -17,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowtables.llm.stage import small_batches, stored
-from flowtables.llm.words import WordHashes, window_hashes
+from flowtables.llm.stage import discard, small_batches, stored
+from flowtables.llm.words import SpanHashes, WordHashes, window_hashes
 
 WINDOW = 50
 PERIOD = 31
@@ -26,6 +29,8 @@ COVER = (1, 5, 11, 24, 25, 27)  # every difference modulo 31 is one of two membe
 ANCHOR = WINDOW - PERIOD + 1
 SEED = 90
 FILTER_BITS = 25
+RUN_BITS = 4  # a run holds 2 ** RUN_BITS windows on average
+ROWS = 200_000  # about as many rows go out in a batch
 
 
 def anchor_places(n: int) -> np.ndarray:
@@ -108,29 +113,80 @@ def anchors(texts: DataFrame, bits) -> DataFrame:
     return texts.mapInArrow(run, f"hash long, doc_id {kind}, place int")
 
 
+def _gathered(batches, of_row, names: list[str]):
+    """Record batches of ``of_row``'s arrays for each row (or None) with the row's ``doc_id``, about ``ROWS`` rows each."""
+    for batch in batches:
+        parts, rows, size = [], [], 0
+        for row, given in enumerate(zip(*(batch.column(k).to_pylist() for k in range(1, batch.num_columns)), strict=True)):
+            found = of_row(*given)
+            if found is not None and len(found[0]):
+                parts.append(found)
+                rows.append(np.full(len(found[0]), row))
+                size += len(found[0])
+            if size and (size > ROWS or row == batch.num_rows - 1):
+                columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), *columns], names)
+                parts, rows, size = [], [], 0
+        if size:
+            columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), *columns], names)
+
+
+def runs(chosen: DataFrame) -> DataFrame:
+    """``doc_id, r1, r2, start, length``: the windows that hold one of a document's shared anchors (``places``), in runs.
+
+    A run is ``length`` windows from ``start`` on, hashed over all their words. It ends before a window whose hash has
+    ``RUN_BITS`` zero bits, or where windows without such an anchor follow.
+    """
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        hashes, spans = WordHashes(), SpanHashes(SEED)
+
+        def of_text(text, places):
+            words = words_of(text)
+            last = len(words) - WINDOW
+            if last < 0:
+                return None
+            places = np.array(places, "int64")
+            edge = np.zeros(len(words) + 2, "int64")
+            np.add.at(edge, np.maximum(places - PERIOD + 1, 0), 1)
+            np.add.at(edge, places + 1, -1)
+            starts = np.nonzero(np.cumsum(edge)[:last + 1])[0]
+            if not len(starts):
+                return None
+            own = spans.of(hashes(words))
+            first = np.ones(len(starts), bool)
+            first[1:] = (np.diff(starts) != 1) | (own(0, starts[1:], starts[1:] + WINDOW) & np.uint64((1 << RUN_BITS) - 1) == 0)
+            begins = np.nonzero(first)[0]
+            length = np.diff(np.append(begins, len(starts)))
+            begin = starts[begins]
+            one, two = (own(k, begin, begin + length - 1 + WINDOW).view("int64") for k in (0, 1))
+            return one, two, begin.astype("int32"), length.astype("int32")
+
+        yield from _gathered(batches, of_text, ["doc_id", "r1", "r2", "start", "length"])
+
+    return chosen.select("doc_id", "text", "places").mapInArrow(run, f"doc_id {kind}, r1 long, r2 long, start int, length int")
+
+
 def windows(chosen: DataFrame) -> DataFrame:
-    """``h1, h2, doc_id, start`` of the windows of 50 words that hold one of a document's shared anchors (``places``)."""
+    """``doc_id, h1, h2, start`` of every window of the runs (``spans``: ``start, length``) of each text."""
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            for row, (text, places) in enumerate(zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True)):
-                words = words_of(text)
-                last = len(words) - WINDOW
-                if last < 0:
-                    continue
-                mark = np.zeros(last + PERIOD + 1, bool)
-                for shift in range(PERIOD):
-                    mark[np.maximum(np.array(places) - shift, 0)] = True
-                starts = np.nonzero(mark[:last + 1])[0]
-                own = hashes(words)
-                one, two = (window_hashes(own, starts, WINDOW, SEED + k).view("int64") for k in (1, 2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), batch.column("doc_id").take(pa.array(np.full(len(starts), row))),
-                     pa.array(starts.astype("int32"))], ["h1", "h2", "doc_id", "start"])
+        hashes, spans = WordHashes(), SpanHashes(SEED)
+
+        def of_text(text, found):
+            words = words_of(text)
+            starts = np.concatenate([np.arange(s["start"], s["start"] + s["length"]) for s in found])
+            starts = starts[starts <= len(words) - WINDOW]
+            own = spans.of(hashes(words))
+            one, two = (own(k, starts, starts + WINDOW).view("int64") for k in (0, 1))
+            return one, two, starts.astype("int32")
+
+        yield from _gathered(batches, of_text, ["doc_id", "h1", "h2", "start"])
 
-    return chosen.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}, start int")
+    return chosen.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, h1 long, h2 long, start int")
 
 
 def digests(texts: DataFrame) -> DataFrame:
@@ -148,18 +204,20 @@ def digests(texts: DataFrame) -> DataFrame:
 
 
 def cut(chosen: DataFrame, with_text: bool = False) -> DataFrame:
-    """``doc_id, removed, cut_sha256`` (``kept_text``) of documents with the starts of their repeated windows (``starts``)."""
+    """``doc_id, removed, cut_sha256`` (``kept_text``) of documents with the runs of their repeated windows (``spans``)."""
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             removed, digest, kept = [], [], []
-            for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = words_of(text)
-                edge = np.zeros(len(words) + WINDOW + 1, "int64")
-                starts = np.array([s for s in starts if s + WINDOW <= len(words)], "int64")
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + WINDOW, -1)
+                edge = np.zeros(len(words) + 1, "int64")
+                begin = np.array([s["start"] for s in spans], "int64")
+                end = begin + np.array([s["length"] for s in spans], "int64") - 1 + WINDOW
+                inside = end <= len(words)
+                np.add.at(edge, begin[inside], 1)
+                np.add.at(edge, end[inside], -1)
                 gone = np.cumsum(edge)[:len(words)] > 0
                 left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 removed.append(int(gone.sum()))
@@ -184,12 +242,23 @@ def repeated_passages(docs: DataFrame, with_text: bool = False, id_col: str = "d
     shared = stored(shared_hashes(known), "shared")
     found = anchors(known, spark.sparkContext.broadcast(filter_bits(shared)))
     places = found.join(shared, "hash", "left_semi").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    chosen = stored(known.join(stored(places, "places"), "doc_id"), "chosen")
-    seen = stored(windows(chosen), "windows")
+    chosen = stored(known.join(places, "doc_id"), "chosen")
+    discard(shared)
+    alike = stored(runs(chosen), "runs")
+    low = alike.groupBy("r1", "r2").agg(F.min("doc_id").alias("low"))
+    span = F.struct("start", "length")
+    marked = stored(alike.join(low, ["r1", "r2"]).groupBy("doc_id", (F.col("low") < F.col("doc_id")).alias("later")).agg(
+        F.collect_set(span).alias("spans")), "marked")
+    discard(alike)
+    own = marked.filter("not later").select("doc_id", "spans")
+    seen = stored(windows(chosen.select("doc_id", "text").join(own, "doc_id")), "windows")
     first = seen.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    later = seen.join(first.select("h1", "h2", "low"), ["h1", "h2"]).filter("doc_id > low")
-    starts = later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-    losses = stored(cut(chosen.select("doc_id", "text").join(starts, "doc_id"), with_text), "losses").dropDuplicates(["doc_id"])
+    single = seen.join(first.select("h1", "h2", "low"), ["h1", "h2"]).filter("doc_id > low").groupBy("doc_id").agg(
+        F.collect_set(F.struct("start", F.lit(1).alias("length"))).alias("spans"))
+    repeated = marked.filter("later").select("doc_id", "spans").unionByName(single).groupBy("doc_id").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"))
+    losses = stored(cut(chosen.select("doc_id", "text").join(repeated, "doc_id"), with_text).dropDuplicates(["doc_id"]), "losses")
+    discard(chosen, marked, seen)
     out = digests(texts).join(losses, "doc_id", "left").select(
         "doc_id", "n_words", F.coalesce("removed", F.lit(0)).alias("n_removed"),
         F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"), "kept_text")

@@ -45,3 +45,32 @@ def window_hashes(hashes: np.ndarray, places: np.ndarray, width: int, seed: int)
     for k, factor in enumerate(odd_numbers(width, seed)):
         out += hashes[places + k] * factor
     return mixed(out)
+
+
+class SpanHashes:
+    """Two hashes of any span of a text's words, in constant time each: sums of word hashes times powers of an odd number."""
+
+    def __init__(self, seed: int):
+        self.bases = [int(x) & ~7 | 5 for x in odd_numbers(2, seed)]  # 5 modulo 8: the powers repeat as late as they can
+        self.powers = [(np.ones(1, "uint64"), np.ones(1, "uint64"))] * 2
+
+    def grow(self, n: int) -> None:
+        if n > len(self.powers[0][0]):
+            n = max(n, 1 << 12)
+            self.powers = [tuple(
+                np.concatenate([np.ones(1, "uint64"), np.cumprod(np.full(n - 1, x, "uint64"), dtype="uint64")])
+                for x in (base, pow(base, -1, 1 << 64))) for base in self.bases]
+
+    def of(self, hashes: np.ndarray):
+        """A function of ``k`` (which hash), first words and ends (exclusive) of spans."""
+        n = len(hashes)
+        self.grow(n + 1)
+        sums = []
+        for k in (0, 1):
+            sums.append(np.zeros(n + 1, "uint64"))
+            np.cumsum(mixed(hashes + np.uint64(k)) * self.powers[k][0][:n], out=sums[k][1:])
+
+        def over(k: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+            return mixed((sums[k][ends] - sums[k][begins]) * self.powers[k][1][begins] + (ends - begins).astype("uint64"))
+
+        return over
