@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, each distinct stretch without white space encoded once.
 
-Usable with tokenizers whose rules never look across ASCII white space (they drop it or split at it): then the ids of a
-text are those of its stretches in a row.
+Usable with tokenizers whose rules never look across ASCII white space (they drop it or split at it) nor between an ASCII
+letter or digit and marks after it (``MARKS``): then the ids of a text are those of its stretches in a row, and those of a
+stretch are its word's and its marks'.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 60 << 20  # of each of two tables
 BATCH_BYTES = 2 << 20
+MARKS = b".,;:!?%$*#"
 
 
 class StretchEncoder:
-    """``spec`` is a tokenizer's JSON. ``form`` turns a list of ids into what is kept for a stretch."""
+    """``spec`` is a tokenizer's JSON. ``form`` turns a list of ids into what is kept for a stretch; forms in a row can be added."""
 
     def __init__(self, spec: str, form: Callable[[list[int]], object]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -23,28 +25,50 @@ class StretchEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.form, self.known, self.size = form, {}, 0
+        self.form, self.known, self.before, self.size = form, {}, {}, 0
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Encode the stretches of ``texts`` that are not known."""
-        new = list(set().union(*texts).difference(self.known))
-        if not new:
-            return
+    def learn(self, new: set[bytes]) -> None:
+        """Encode stretches that are not known. What has not been met for a while is forgotten: of two tables the older one goes."""
         if self.size > CACHE_BYTES:
-            self.known, self.size = {}, 0
-            return self.learn(texts)
-        for stretch, found in zip(new, self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
-            self.known[stretch] = self.form(found.ids)
-        self.size += sum(map(len, new)) * 2 + 150 * len(new)
+            self.known, self.before, self.size = {}, self.known, 0
+        known, before = self.known, self.before
+        stems, tailed, unseen = {}, [], set()
+        for stretch in new:
+            form = before.get(stretch)
+            if form is not None:
+                known[stretch] = form
+                continue
+            stem = stretch.rstrip(MARKS)
+            if len(stem) < len(stretch) and stem[-1:].isalnum():  # an ASCII letter or digit before the marks
+                tail = stretch[len(stem):]
+                tailed.append((stretch, stem, tail))
+                unseen.update((stem, tail))
+            else:
+                unseen.add(stretch)
+        for part in unseen:
+            form = known.get(part)
+            stems[part] = before.get(part) if form is None else form
+        fresh = [part for part, form in stems.items() if form is None]
+        if fresh:
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
+            stems.update(zip(fresh, [self.form(x.ids) for x in found], strict=True))
+        known.update(stems)
+        for stretch, stem, tail in tailed:
+            known[stretch] = stems[stem] + stems[tail]
+        self.size += sum(map(len, new)) * 2 + 150 * (len(new) + len(fresh))
 
     def encoded(self, texts: list[str | None]):
         """An iterator over each text's forms in order; null is the empty text."""
         for some in batches(texts):
             split = [(x or "").encode().split() for x in some]
-            self.learn(split)
-            known = self.known
-            for stretches in split:
-                yield [known[x] for x in stretches]
+            forms = [list(map(self.known.get, stretches)) for stretches in split]
+            open_rows = [k for k, found in enumerate(forms) if None in found]
+            if open_rows:
+                self.learn({x for k in open_rows for x, form in zip(split[k], forms[k], strict=True) if form is None})
+                for k in open_rows:
+                    known = self.known
+                    forms[k] = [known[x] if form is None else form for x, form in zip(split[k], forms[k], strict=True)]
+            yield from forms
 
 
 def batches(texts: list[str | None]):
