@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
-        coder = StretchEncoder(spec.value, lambda ids: pack_ids(f"<{len(ids)}I", *ids))
+        coder = StretchEncoder(spec.value, np.ndarray.tobytes)
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, forms in enumerate(coder.encoded(batch.column(1).to_pylist())):

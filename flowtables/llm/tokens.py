@@ -2,7 +2,7 @@
 
 Usable with tokenizers whose rules never look across ASCII white space (they drop it or split at it) nor between an ASCII
 letter or digit and marks after it (``MARKS``): then the ids of a text are those of its stretches in a row, and those of a
-stretch are its word's and its marks'.
+stretch are its word's and its marks'. New stretches are encoded in runs, as one text with ``BAR`` between them.
 """
 
 from __future__ import annotations
@@ -10,23 +10,44 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import numpy as np
+
 CACHE_BYTES = 60 << 20  # of each of two tables
 BATCH_BYTES = 2 << 20
 MARKS = b".,;:!?%$*#"
+BAR = "|"
+RUN = 64  # stretches encoded as one text
 
 
 class StretchEncoder:
-    """``spec`` is a tokenizer's JSON. ``form`` turns a list of ids into what is kept for a stretch; forms in a row can be added."""
+    """``spec`` is a tokenizer's JSON. ``form`` turns an array of ids into what is kept for a stretch; forms in a row can be added."""
 
-    def __init__(self, spec: str, form: Callable[[list[int]], object]):
+    def __init__(self, spec: str, form: Callable[[np.ndarray], object]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
         self.form, self.known, self.before, self.size = form, {}, {}, 0
 
+    def forms(self, parts: list[bytes]) -> dict[bytes, object]:
+        """The form of each of the parts."""
+        joinable = [x for x in parts if BAR.encode() not in x] if len(self.bar) == 1 else []
+        runs = [joinable[k:k + RUN] for k in range(0, len(joinable), RUN)]
+        found = {}
+        for run, ids in zip(runs, self.ids([f" {BAR} ".join(x.decode() for x in run) for run in runs]), strict=True):
+            bars = np.flatnonzero(ids == self.bar[0]).tolist()
+            found.update(zip(run, [self.form(ids[a:b]) for a, b in zip([0, *[k + 1 for k in bars]], [*bars, len(ids)], strict=True)],
+                             strict=True))
+        alone = [x for x in parts if x not in found]
+        found.update(zip(alone, map(self.form, self.ids([x.decode() for x in alone])), strict=True))
+        return found
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, new: set[bytes]) -> None:
         """Encode stretches that are not known. What has not been met for a while is forgotten: of two tables the older one goes."""
         if self.size > CACHE_BYTES:
@@ -50,8 +71,7 @@ class StretchEncoder:
             stems[part] = before.get(part) if form is None else form
         fresh = [part for part, form in stems.items() if form is None]
         if fresh:
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in fresh], add_special_tokens=False)
-            stems.update(zip(fresh, [self.form(x.ids) for x in found], strict=True))
+            stems.update(self.forms(fresh))
         known.update(stems)
         for stretch, stem, tail in tailed:
             known[stretch] = stems[stem] + stems[tail]

@@ -91,7 +91,7 @@ def _sequences(docs: DataFrame, spec, starts: dict[int, tuple[int, int]], length
 
     def deal(batches):
         end = np.array([END_ID], "<u2").tobytes()
-        coder = StretchEncoder(spec.value, lambda ids: np.array(ids, "<u2").tobytes())
+        coder = StretchEncoder(spec.value, lambda ids: ids.astype("<u2").tobytes())
         begin, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0))
         place, buffer, filled, docs_in = begin, [], 0, []
         id_type = None
