@@ -35,12 +35,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
-        coder = StretchEncoder(spec.value, np.ndarray.tobytes)
+        coder = StretchEncoder(spec.value)
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, forms in enumerate(coder.encoded(batch.column(1).to_pylist())):
-                forms.append(end)
-                whole = b"".join(forms)
+            for row, found in enumerate(coder.encoded(batch.column(1))):
+                whole = found.tobytes() + end
                 for n, begin in enumerate(range(0, len(whole), 4 * capacity)):
                     part = whole[begin:begin + 4 * capacity]
                     at.append(row)

@@ -8,9 +8,11 @@ stretch are its word's and its marks'. New stretches are encoded in runs, as one
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE_BYTES = 60 << 20  # of each of two tables
 BATCH_BYTES = 2 << 20
@@ -20,9 +22,9 @@ RUN = 64  # stretches encoded as one text
 
 
 class StretchEncoder:
-    """``spec`` is a tokenizer's JSON. ``form`` turns an array of ids into what is kept for a stretch; forms in a row can be added."""
+    """``spec`` is a tokenizer's JSON. Kept for a stretch: its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, spec: str, form: Callable[[np.ndarray], object]):
+    def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -30,23 +32,24 @@ class StretchEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
-        self.form, self.known, self.before, self.size = form, {}, {}, 0
+        self.known, self.before, self.size = {}, {}, 0
 
-    def forms(self, parts: list[bytes]) -> dict[bytes, object]:
-        """The form of each of the parts."""
+    def forms(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of each of the parts."""
         joinable = [x for x in parts if BAR.encode() not in x] if len(self.bar) == 1 else []
         runs = [joinable[k:k + RUN] for k in range(0, len(joinable), RUN)]
         found = {}
-        for run, ids in zip(runs, self.ids([f" {BAR} ".join(x.decode() for x in run) for run in runs]), strict=True):
-            bars = np.flatnonzero(ids == self.bar[0]).tolist()
-            found.update(zip(run, [self.form(ids[a:b]) for a, b in zip([0, *[k + 1 for k in bars]], [*bars, len(ids)], strict=True)],
-                             strict=True))
+        for run, ids in zip(runs, self.ids([f" {BAR} ".encode().join(run) for run in runs]), strict=True):
+            bars, data = np.flatnonzero(ids == self.bar[0]), ids.tobytes()
+            spans = zip([0, *(4 * bars + 4).tolist()], [*(4 * bars).tolist(), len(data)], strict=True)
+            found.update(zip(run, [data[a:b] for a, b in spans], strict=True))
         alone = [x for x in parts if x not in found]
-        found.update(zip(alone, map(self.form, self.ids([x.decode() for x in alone])), strict=True))
+        found.update(zip(alone, [x.tobytes() for x in self.ids(alone)], strict=True))
         return found
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in found]
 
     def learn(self, new: set[bytes]) -> None:
         """Encode stretches that are not known. What has not been met for a while is forgotten: of two tables the older one goes."""
@@ -77,26 +80,36 @@ class StretchEncoder:
             known[stretch] = stems[stem] + stems[tail]
         self.size += sum(map(len, new)) * 2 + 150 * (len(new) + len(fresh))
 
-    def encoded(self, texts: list[str | None]):
-        """An iterator over each text's forms in order; null is the empty text."""
-        for some in batches(texts):
-            split = [(x or "").encode().split() for x in some]
-            forms = [list(map(self.known.get, stretches)) for stretches in split]
-            open_rows = [k for k, found in enumerate(forms) if None in found]
-            if open_rows:
-                self.learn({x for k in open_rows for x, form in zip(split[k], forms[k], strict=True) if form is None})
-                for k in open_rows:
-                    known = self.known
-                    forms[k] = [known[x] if form is None else form for x, form in zip(split[k], forms[k], strict=True)]
-            yield from forms
-
-
-def batches(texts: list[str | None]):
+    def encoded(self, texts: pa.Array):
+        """An iterator over each text's ids in order; null is the empty text."""
+        texts, first = pc.fill_null(texts, ""), 0
+        for some in batches(pc.binary_length(texts).to_pylist(), int):
+            split = pc.ascii_split_whitespace(texts.slice(first, len(some)))
+            first += len(some)
+            coded = split.flatten().dictionary_encode()
+            stretches = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+            forms = list(map(self.known.get, stretches))
+            if None in forms:
+                self.learn({x for x, form in zip(stretches, forms, strict=True) if form is None})
+                known = self.known
+                forms = [known[x] if form is None else form for x, form in zip(stretches, forms, strict=True)]
+            flat = np.frombuffer(b"".join(forms), "<u4")
+            sizes = np.fromiter(map(len, forms), "int64", len(forms)) // 4
+            starts = np.cumsum(sizes) - sizes
+            turn = coded.indices.to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes[turn])])
+            ids = flat[np.repeat(starts[turn] - ends[:-1], sizes[turn]) + np.arange(ends[-1])]
+            bounds = ends[split.offsets.to_numpy()].tolist()
+            for a, b in pairwise(bounds):
+                yield ids[a:b]
+
+
+def batches(texts: list, length=lambda text: len(text or "")):
     """The texts in runs of about ``BATCH_BYTES``."""
     some, size = [], 0
     for text in texts:
         some.append(text)
-        size += len(text or "")
+        size += length(text)
         if size > BATCH_BYTES:
             yield some
             some, size = [], 0

@@ -76,9 +76,9 @@ def _token_counts(docs: DataFrame, spec) -> list[tuple[int, int]]:
     """Ids of each partition that has rows, end ids included: ``(partition, ids)``."""
 
     def count(batches):
-        coder, total = StretchEncoder(spec.value, len), 0
+        coder, total = StretchEncoder(spec.value), 0
         for batch in batches:
-            total += batch.num_rows + sum(map(sum, coder.encoded(batch.column(1).to_pylist())))
+            total += batch.num_rows + sum(map(len, coder.encoded(batch.column(1))))
         if total:
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [total]})
 
@@ -91,7 +91,7 @@ def _sequences(docs: DataFrame, spec, starts: dict[int, tuple[int, int]], length
 
     def deal(batches):
         end = np.array([END_ID], "<u2").tobytes()
-        coder = StretchEncoder(spec.value, lambda ids: ids.astype("<u2").tobytes())
+        coder = StretchEncoder(spec.value)
         begin, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0))
         place, buffer, filled, docs_in = begin, [], 0, []
         id_type = None
@@ -110,9 +110,8 @@ def _sequences(docs: DataFrame, spec, starts: dict[int, tuple[int, int]], length
 
         for batch in batches:
             id_type, found = batch.column(0).type, []
-            for doc, forms in zip(batch.column(0).to_pylist(), coder.encoded(batch.column(1).to_pylist()), strict=True):
-                forms.append(end)
-                whole, used = b"".join(forms), 0
+            for doc, ids in zip(batch.column(0).to_pylist(), coder.encoded(batch.column(1)), strict=True):
+                whole, used = ids.astype("<u2").tobytes() + end, 0
                 while used < len(whole):
                     part = whole[used:used + 2 * (length - place % length)]
                     buffer.append(part)
