@@ -1,8 +1,8 @@
 """Training-order materialisation: a keyed permutation gives every sequence a slot; shards of fixed stride hold the slots.
 
-All texts form one stream of token ids, each ended by the end id, cut into sequences of a fixed length. Two passes over the
-table: the first counts the ids of each partition (one number a partition goes to the driver), the second knows from those
-where its ids stand in the stream and deals whole sequences out. A Feistel network with cycle-walking maps the sequence
+All texts form one stream of token ids, each ended by the end id, cut into sequences of a fixed length. The ids are written
+once to a table in the shared folder. Two passes over it: the first counts the ids of each partition (one number a partition
+goes to the driver), the second knows from those where its ids stand in the stream and deals whole sequences out. A Feistel network with cycle-walking maps the sequence
 numbers onto the slots; partitions that are ranges of slots write one shard file each, so slot ``k`` of the training order is
 always found at ``k % shard * stride`` of file ``k // shard`` and a reader can start at any slot.
 """
@@ -14,6 +14,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,26 +73,37 @@ def sequences_of(slots, n: int, seed: int) -> np.ndarray:
     return _walk(_inverse, slots, n, seed)
 
 
-def _token_counts(docs: DataFrame, spec) -> list[tuple[int, int]]:
+def token_table(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``doc_id, ids`` of each row: its ids and the end id as little-endian unsigned 16-bit integers."""
+    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def encode(batches):
+        end = np.array([END_ID], "<u2").tobytes()
+        coder = StretchEncoder(spec.value)
+        for batch in batches:
+            ids = pa.array([x.astype("<u2").tobytes() + end for x in coder.encoded(batch.column(1))], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")
+
+
+def _token_counts(tokens: DataFrame) -> list[tuple[int, int]]:
     """Ids of each partition that has rows, end ids included: ``(partition, ids)``."""
 
     def count(batches):
-        coder, total = StretchEncoder(spec.value), 0
-        for batch in batches:
-            total += batch.num_rows + sum(map(len, coder.encoded(batch.column(1))))
+        total = sum(pc.sum(pc.binary_length(batch.column(1))).as_py() or 0 for batch in batches) // 2
         if total:
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [total]})
 
-    return sorted((r["part"], r["n"]) for r in docs.mapInArrow(count, "part long, n long").collect())
+    return sorted((r["part"], r["n"]) for r in tokens.mapInArrow(count, "part long, n long").collect())
 
 
-def _sequences(docs: DataFrame, spec, starts: dict[int, tuple[int, int]], length: int, n: int, seed: int, shard: int) -> DataFrame:
+def _sequences(tokens: DataFrame, starts: dict[int, tuple[int, int]], length: int, n: int, seed: int, shard: int) -> DataFrame:
     """``shard, slot, sequence_id, at, ids, doc_ids``: the part of each sequence that a partition has, nearly always all."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def deal(batches):
-        end = np.array([END_ID], "<u2").tobytes()
-        coder = StretchEncoder(spec.value)
         begin, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0))
         place, buffer, filled, docs_in = begin, [], 0, []
         id_type = None
@@ -110,8 +122,8 @@ def _sequences(docs: DataFrame, spec, starts: dict[int, tuple[int, int]], length
 
         for batch in batches:
             id_type, found = batch.column(0).type, []
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.encoded(batch.column(1)), strict=True):
-                whole, used = ids.astype("<u2").tobytes() + end, 0
+            for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                used = 0
                 while used < len(whole):
                     part = whole[used:used + 2 * (length - place % length)]
                     buffer.append(part)
@@ -128,7 +140,7 @@ def _sequences(docs: DataFrame, spec, starts: dict[int, tuple[int, int]], length
             raise RuntimeError("the table changed between the two passes")
 
     schema = f"shard long, slot long, sequence_id long, at int, ids binary, doc_ids array<{kind}>"
-    return docs.mapInArrow(deal, schema)
+    return tokens.mapInArrow(deal, schema)
 
 
 def materialise(docs: DataFrame, root: str, tokenizer_path: str, seed: int = 0, length: int = SEQUENCE, shard: int = SHARD,
@@ -136,20 +148,20 @@ def materialise(docs: DataFrame, root: str, tokenizer_path: str, seed: int = 0,
     """Writes shard files of 16-bit ids under ``root`` (shared) and returns what they hold, one row a sequence:
     ``slot, sequence_id, shard, offset`` (bytes in the file), ``n_tokens, ids_crc32, doc_ids``.
 
-    ``docs`` is a table as stored: both passes read the same rows in the same partitions, and the second one fails if it does
-    not meet the first one's counts. The last sequence is filled up with end ids in the file; ``n_tokens`` leaves them out.
+    Both passes read the table of ids in the same partitions, and the second one fails if it does not meet the first one's
+    counts. The last sequence is filled up with end ids in the file; ``n_tokens`` leaves them out.
     A null or empty text is an end id alone; rows without an id or repeated take part; an empty table gives no sequence;
     other columns are not read, whatever their names.
     """
     spark = small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    spec = spark.sparkContext.broadcast(read_spec(tokenizer_path))
-    counts = _token_counts(texts, spec)
+    tokens = stored(token_table(texts, tokenizer_path), "tokens")
+    counts = _token_counts(tokens)
     begins = np.cumsum([0] + [n for _, n in counts])
     total = int(begins[-1])
     n = -(-total // length)
     starts = spark.sparkContext.broadcast({part: (int(b), m) for (part, m), b in zip(counts, begins, strict=False)})
-    dealt = _sequences(texts, spec, starts, length, n, seed, shard)
+    dealt = _sequences(tokens, starts, length, n, seed, shard)
     ordered = dealt.repartitionById(max(1, -(-n // shard)), F.col("shard").cast("int")).sortWithinPartitions("slot", "at")
     kind = texts.schema["doc_id"].dataType.simpleString()
     out = "slot long, sequence_id long, shard long, offset long, n_tokens long, ids_crc32 long, doc_ids array<" + kind + ">"
