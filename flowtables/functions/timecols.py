@@ -19,8 +19,9 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO 8601 text to an instant; null when it is not a time."""
-    return text.try_cast("timestamp")
+    """ISO 8601 text to an instant; null when it is not a full date with a time."""
+    full = text.rlike(r"^\s*\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
+    return F.when(full, text.try_cast("timestamp"))
 
 
 def to_local(instant: Column, zone: str = LOCAL_ZONE) -> Column:

@@ -45,13 +45,10 @@ def minute_grid(detectors: DataFrame, first: int | Column, last: int | Column, s
     Built in two explodes with a shuffle between, so one detector's long range is spread over many tasks.
     """
     span = step * GRID_PIECE
-    fixed = isinstance(first, int) and isinstance(last, int)
     low, high = ((F.lit(x) if isinstance(x, int) else x).cast("bigint") for x in (first, last))
     pieces = detectors.withColumns({"_low": low, "_high": high}).where("_low <= _high").withColumn(
         "_piece", F.explode(F.sequence(F.col("_low"), F.col("_high"), F.lit(span).cast("bigint"))))
-    if not fixed or last - first >= span:
-        pieces = pieces.repartition("VDID", "_piece")
-    return pieces.withColumn("minute", F.explode(F.sequence(
+    return pieces.repartition("VDID", "_piece").withColumn("minute", F.explode(F.sequence(
         F.col("_piece"), F.least(F.col("_piece") + (span - step), F.col("_high")), F.lit(step).cast("bigint")))).drop(
         "_piece", "_low", "_high")
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from flowtables.functions import flow
 from flowtables.operators.grid import minute_grid, templates
 
-# A link's first sighting is minute * POSITIONS + position in the record.
-POSITION_BITS = 20
+# A link's first sighting is minute * POSITIONS + position in the record: arrays have fewer than 2^31 elements,
+# and minutes up to the year 9999 times that fit a BIGINT.
+POSITION_BITS = 31
 POSITIONS = 1 << POSITION_BITS
 
 

@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 from flowtables.catalog import RecordClass, authority, record_class
 from flowtables.functions.timecols import instant_literal, iso_text
 from flowtables.operators import upsert
-from flowtables.sources.scratch import scratch_path
-
-# Periods listed on the driver to prune an upsert's target; a batch over more of them reads the whole class.
-MAX_PRUNED_PERIODS = 5000
+from flowtables.sources.scratch import remove, scratch_path
 
 
 def period(cls: RecordClass, time: Column) -> Column:
@@ -65,34 +62,39 @@ def upsert_into(spark: SparkSession, root: str, authority_name: str, dataclass:
     """Upsert a keyed batch into the table, rewriting only the periods the batch touches.
 
     The merged periods are staged in the shared scratch folder and then swapped in from there: no plan
-    overwrites what it reads, and a lost executor or driver leaves the staged copy to repeat from.
+    overwrites what it reads. The staged copy goes after the swap; a failed swap leaves it.
     """
     cls = record_class(dataclass)
     authority(authority_name)
     batch = upsert.accepted(batch)
-    touched = batch.select(period(cls, F.col("time")).alias("dt")).distinct().limit(MAX_PRUNED_PERIODS + 1)
-    periods = [row.dt for row in touched.collect()]
-    if not periods:
-        return
-    target = scan(spark, root, authority_name, dataclass)
-    if len(periods) <= MAX_PRUNED_PERIODS:
-        target = target.where(F.col("dt").isin(periods))
+    target = _touched(scan(spark, root, authority_name, dataclass), batch, cls)
     merged = upsert.merge_typed(target.drop("dt"), batch, cls).withColumn("authority", F.lit(authority_name))
-    staged = scratch_path(spark, "stage")
-    merged.write.parquet(staged)
-    write(spark.read.parquet(staged), root, cls, mode="overwrite")
+    _swap_in(merged, root, cls, "overwrite")
 
 
 def append_new(spark: SparkSession, root: str, authority_name: str, dataclass: str, batch: DataFrame) -> None:
-    """Insert-if-absent: records whose key the table lacks."""
+    """Insert-if-absent: records whose key the table lacks. Only the periods that the batch touches are read."""
     cls = record_class(dataclass)
-    target = scan(spark, root, authority_name, dataclass)
+    batch = upsert.accepted(batch)
+    target = _touched(scan(spark, root, authority_name, dataclass), batch, cls)
     keys = target.select(F.col(cls.id_field).alias("id"), F.col(cls.time_field).alias("time"))
-    fresh = upsert.new_only(keys, upsert.accepted(batch)).withColumn("seq", F.lit(0))
+    fresh = upsert.new_only(keys, batch).withColumn("seq", F.lit(0))
     empty = spark.createDataFrame([], cls.schema)
+    _swap_in(upsert.merge_typed(empty, fresh, cls).withColumn("authority", F.lit(authority_name)), root, cls, "append")
+
+
+def _touched(target: DataFrame, batch: DataFrame, cls: RecordClass) -> DataFrame:
+    """The target's rows in periods of the batch. The driver gets the dates: one a day or year of history, whatever the rows."""
+    periods = batch.select(period(cls, F.col("time")).alias("dt")).distinct().collect()
+    return target.where(F.col("dt").isin([row.dt for row in periods]))
+
+
+def _swap_in(rows: DataFrame, root: str, cls: RecordClass, mode: str) -> None:
+    spark = rows.sparkSession
     staged = scratch_path(spark, "stage")
-    upsert.merge_typed(empty, fresh, cls).withColumn("authority", F.lit(authority_name)).write.parquet(staged)
-    write(spark.read.parquet(staged), root, cls)
+    rows.write.parquet(staged)
+    write(spark.read.schema(rows.schema).parquet(staged), root, cls, mode=mode)
+    remove(spark, staged)
 
 
 def json_rows(table: DataFrame, *times: str) -> DataFrame:

@@ -121,11 +121,11 @@ def test_catalog():
 
 
 def test_time_functions(spark):
-    texts = ["2021-01-01T15:00:00+08:00", "2021-01-01T15:00:00.250+08:00", "2021-01-01T07:00:59Z", "soon", None]
+    texts = ["2021-01-01T15:00:00+08:00", "2021-01-01T15:00:00.250+08:00", "2021-01-01T07:00:59Z", "soon", None, "12:30", "T01:02", "2021"]
     frame = spark.createDataFrame([(t,) for t in texts], "t string").select(timecols.parse_iso(F.col("t")).alias("t"))
     rows = frame.select(timecols.iso_text(F.col("t")).alias("iso"), timecols.epoch_minute(F.col("t")).alias("m"),
                         timecols.trunc_minute(F.col("t")).alias("minute")).collect()
-    assert [r.iso for r in rows] == ["2021-01-01T15:00:00+08:00", "2021-01-01T15:00:00.250000+08:00", "2021-01-01T15:00:59+08:00", None, None]
+    assert [r.iso for r in rows] == ["2021-01-01T15:00:00+08:00", "2021-01-01T15:00:00.250000+08:00", "2021-01-01T15:00:59+08:00"] + [None] * 5
     assert rows[0].m == rows[1].m == rows[2].m == timecols.minute_of("2021-01-01T15:00:00+08:00")
     assert rows[2].minute == datetime(2021, 1, 1, 7, 0)
     before = spark.sql("SELECT timestamp'1969-12-31 23:59:30' AS t").select(timecols.epoch_minute(F.col("t")).alias("m"))
