@@ -68,10 +68,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``documents`` without the rows whose text an earlier row has; all columns stay."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("kept_id"))
-    held = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    """``documents`` without the rows whose text an earlier row has; all columns stay.
+
+    The kept row of a text is found again by its id and its text, as ids may be missing or repeated.
+    """
+    digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256"))
+    held = docs.withColumn("_text_sha256", digest)
+    held = held.join(
+        kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_sha256") == F.col("_kept_sha256")), "left_semi")
+    return held.dropDuplicates(["doc_id", "_text_sha256"]).drop("_text_sha256")
 
 
 SQL = r"""
