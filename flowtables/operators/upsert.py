@@ -90,10 +90,20 @@ def _typed(text: Column, kind: str) -> Column:
         return parse_iso(text)
     if kind.startswith(("array", "map", "struct")):
         # Numbers arrive quoted or not; read them as text, then cast each where it can be.
-        return F.from_json(text, kind.replace(":double", ":string").replace(":bigint", ":string")).try_cast(kind)
+        return F.from_json(text, _texts(kind)).try_cast(kind)
     return text.try_cast(kind)
 
 
+def _texts(kind: str) -> str:
+    return kind.replace(":double", ":string").replace(":bigint", ":string")
+
+
+def _holds_more(text: Column, kind: str) -> Column:
+    """Whether a nested field's JSON has anything that its declared type does not hold."""
+    plain = lambda x: F.replace(F.to_json(F.try_parse_json(x)), F.lit('"'), F.lit(""))
+    return text.isNotNull() & ~plain(text).eqNullSafe(plain(F.to_json(F.from_json(text, _texts(kind)))))
+
+
 def merge_typed(target: DataFrame, batch: DataFrame, cls: RecordClass) -> DataFrame:
     """Upsert into the class's columnar table: a column changes only where the batch gives its field.
 
@@ -108,9 +118,18 @@ def merge_typed(target: DataFrame, batch: DataFrame, cls: RecordClass) -> DataFr
         for name, kind in columns.items()
     ]
     declared = F.array(*[F.lit(name) for name in (*cls.key, *columns)])
-    unknown = F.map_filter(new, lambda k, _: ~F.array_contains(declared, k))
-    return target.join(given, list(cls.key), "full").select(
-        *cls.key, *merged, overlay(F.col("extra"), unknown).alias("extra"))
+    unknown = F.map_filter(new, lambda k, v: ~F.array_contains(declared, k) | _more(k, v, columns))
+    old = F.when(new.isNull(), F.col("extra")).otherwise(F.map_filter("extra", lambda k, _: ~F.map_contains_key(new, k)))
+    return target.join(given, list(cls.key), "full").select(*cls.key, *merged, overlay(old, unknown).alias("extra"))
+
+
+def _more(name: Column, text: Column, columns: dict[str, str]) -> Column:
+    """Whether a declared nested field needs its whole JSON kept in ``extra``, beside the typed column."""
+    found = F.lit(False)
+    for declared, kind in columns.items():
+        if kind.startswith(("array", "struct")):
+            found = found | ((name == declared) & _holds_more(text, kind))
+    return found
 
 
 def new_only(target: DataFrame, batch: DataFrame) -> DataFrame:

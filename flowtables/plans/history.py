@@ -44,7 +44,7 @@ class TrafficHistory:
 
     def as_xml(self, rows: DataFrame, row_tag: str) -> DataFrame:
         times = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp"]
-        return tables.xml_rows(lookup.public(rows).drop("extra"), row_tag, *times)
+        return tables.xml_rows(lookup.public(rows), row_tag, *times)
 
     # Detector flows
 

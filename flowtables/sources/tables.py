@@ -106,8 +106,35 @@ def json_rows(table: DataFrame, *times: str) -> DataFrame:
 
 
 def xml_rows(table: DataFrame, row_tag: str, *times: str) -> DataFrame:
-    """Each row as an XML element."""
+    """Each row as an XML element. The fields in ``extra`` follow as elements of their own; a nested field that is there
+    whole stands for its typed column."""
     shown = table
     for name in times:
         shown = shown.withColumn(name, iso_text(F.col(name)))
-    return shown.select(F.to_xml(F.struct("*"), {"rowTag": row_tag, "nullValue": ""}).alias("xml"))
+    options = {"rowTag": row_tag, "nullValue": ""}
+    if dict(table.dtypes).get("extra") != "map<string,string>":
+        return shown.select(F.to_xml(F.struct("*"), options).alias("xml"))
+    own = [name for name in shown.columns if name != "extra"]
+    parts = []
+    for name in own:
+        part = _inner(F.to_xml(F.struct(name), options), row_tag)
+        parts.append(F.when(F.coalesce(F.map_contains_key("extra", name), F.lit(False)), "").otherwise(part))
+    rest = _inner(F.to_xml(F.try_parse_json(_extra_json(F.col("extra"))), options | {"attributePrefix": "@", "valueTag": "#text"}), row_tag)
+    return shown.select(F.concat(
+        F.lit(f"<{row_tag}>"), *parts, F.coalesce(rest, F.lit("")), F.lit(f"\n</{row_tag}>")).alias("xml"))
+
+
+def _inner(xml: Column, row_tag: str) -> Column:
+    """What stands between the tags of the row."""
+    return F.regexp_replace(xml, rf"(?s)^\s*<{row_tag}\s*/>\s*$|^\s*<{row_tag}>|\s*</{row_tag}>\s*$", "")
+
+
+def _extra_json(extra: Column) -> Column:
+    def member(entry):
+        nested = entry["value"].rlike(r"^\s*[\[{]") & F.try_parse_json(entry["value"]).isNotNull()
+        text = F.to_json(F.create_map(entry["key"], entry["value"]), {"ignoreNullFields": "false"})
+        key = F.to_json(F.create_map(entry["key"], F.lit(0)))
+        return F.when(nested, F.concat(F.substr(key, F.lit(2), F.length(key) - 3), entry["value"])).otherwise(
+            F.substr(text, F.lit(2), F.length(text) - 2))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(extra), member), ","), F.lit("}"))

@@ -1,7 +1,7 @@
 """XML batches: header and record elements, normalized per class to the same ``fields`` maps as JSON input.
 
-A record is read as a map of all its top-level elements. Classes with nested lists are read a second
-time with a declared structure for those lists, so one child and many children give the same array.
+A record is read as a variant with all its elements, in one pass: nested elements are objects, repeated
+ones arrays. The lists that a class declares are arrays for one child and for many.
 """
 
 from __future__ import annotations
@@ -20,18 +20,11 @@ NIL_FIELDS = {
 }
 NIL_LEVEL_FIELDS = ("TopValue", "LowValue")
 HEADER = "UpdateTime string, UpdateInterval string, AuthorityCode string, LinkVersion string"
-_ITEMS = "array<map<string,string>>"
 _VEHICLES = "Vehicles struct<Vehicle: array<struct<VehicleType: string, Volume: string, Speed: string>>>"
 _LANES = f"Lanes struct<Lane: array<struct<LaneID: string, LaneType: string, Speed: string, Occupancy: string, {_VEHICLES}>>>"
-_PAIR = f"LinkIDs struct<LinkIDItem: {_ITEMS}, LinkID: array<string>>"
-_NESTED = {
-    "VD": f"DetectionLinks struct<DetectionLink: {_ITEMS}>",
-    "VDLive": f"LinkFlows struct<LinkFlow: array<struct<LinkID: string, {_LANES}>>>",
-    "AVIPair": _PAIR,
-    "ETagPair": _PAIR,
-    "ETagPairLive": f"Flows struct<Flow: {_ITEMS}>",
-    "CongestionLevel": f"Levels struct<LevelItem: {_ITEMS}, Level: {_ITEMS}>",
-}
+_LINK_FLOWS = f"LinkFlows struct<LinkFlow: array<struct<LinkID: string, {_LANES}>>>"
+#: Classes whose nested list is always an array.
+_NESTED = ("VD", "VDLive", "AVIPair", "ETagPair", "ETagPairLive", "CongestionLevel")
 
 
 def nil_fields(cls: RecordClass) -> tuple[str, ...]:
@@ -42,16 +35,15 @@ def _filled(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def _links(flows: Column, number) -> Column:
-    """LinkFlows as arrays all the way down; ``number`` types a reading. Typed lanes keep no lane labels."""
+def _links(flows: Column) -> Column:
+    """LinkFlows as typed arrays all the way down; typed lanes keep no lane labels."""
 
     def vehicle(v):
-        return F.struct(v["VehicleType"].alias("VehicleType"), number(v["Volume"], "bigint").alias("Volume"),
-                        number(_filled(v["Speed"]), "double").alias("Speed"))
+        return F.struct(v["VehicleType"].alias("VehicleType"), _typed(v["Volume"], "bigint").alias("Volume"),
+                        _typed(_filled(v["Speed"]), "double").alias("Speed"))
 
     def lane(x):
-        names = [] if number is _typed else [x["LaneID"].alias("LaneID"), x["LaneType"].alias("LaneType")]
-        return F.struct(*names, number(x["Speed"], "double").alias("Speed"), number(x["Occupancy"], "double").alias("Occupancy"),
+        return F.struct(_typed(x["Speed"], "double").alias("Speed"), _typed(x["Occupancy"], "double").alias("Occupancy"),
                         F.transform(x["Vehicles"]["Vehicle"], vehicle).alias("Vehicles"))
 
     return F.transform(flows["LinkFlow"], lambda link: F.struct(
@@ -62,31 +54,98 @@ def _typed(text: Column, kind: str) -> Column:
     return text.try_cast(kind)
 
 
-def _as_text(text: Column, kind: str) -> Column:
+#: Stands before every text and attribute while a document is read as variants, so that none is taken for a number.
+_MARK = "\ue000\uf8ff"
+_VARIANTS = "map<string,variant>"
+
+
+def _marked(text: Column) -> Column:
+    for pattern, put in ((r">\s*(?=[^<\s])", f">{_MARK}"), (r"<!\[CDATA\[", f"<![CDATA[{_MARK}"),
+                         (r"(?<!version)(?<!encoding)(?<!standalone)=([\"'])", f"=$1{_MARK}")):
+        text = F.regexp_replace(text, pattern, put)
     return text
 
 
-def _flat_list(cls: RecordClass, record: Column) -> tuple[str, Column]:
-    """Name of the class's nested field and its list as JSON text."""
+def _unmarked(text: Column) -> Column:
+    return F.replace(text, F.lit(_MARK), F.lit(""))
+
+
+def _value_json(value: Column) -> Column:
+    """Any element as JSON: objects for nested ones, arrays for repeated ones, null for nil ones, else a string."""
+    return F.coalesce(F.replace(_unmarked(F.to_json(value)), F.lit('{"@nil":"true"}'), F.lit("null")), F.lit("null"))
+
+
+def _list(value: Column, path: str) -> Column:
+    """The elements at ``path``, one or many, as an array; null where there is none."""
+    one = F.try_variant_get(value, path, "variant")
+    return F.coalesce(F.try_variant_get(value, path, "array<variant>"), F.when(one.isNotNull(), F.array(one)))
+
+
+def _object_json(value: Column, put=None, without=()) -> Column:
+    """An element's children as a JSON object; ``put`` gives the JSON text of some by name; empty ones of ``without`` go."""
+    entries = F.map_entries(F.try_variant_get(value, "$", _VARIANTS))
+    if without:
+        entries = F.filter(entries, lambda e: ~(e["key"].isin(*without) & (_value_json(e["value"]) == "null")))
+
+    def member(entry):
+        text = _value_json(entry["value"])
+        for name, other in (put or {}).items():
+            text = F.when((entry["key"] == name) & other.isNotNull(), other).otherwise(text)
+        return F.concat(F.lit('"'), entry["key"], F.lit('":'), text)
+
+    return F.coalesce(F.concat(F.lit("{"), F.array_join(F.transform(entries, member), ","), F.lit("}")), _value_json(value))
+
+
+def _array_json(items: Column, each) -> Column:
+    return F.concat(F.lit("["), F.array_join(F.transform(items, each), ","), F.lit("]"))
+
+
+def _list_json(cls: RecordClass, record: Column) -> tuple[str, Column]:
+    """Name of the class's nested field and its list as JSON text, with every element of its items."""
     if cls.name == "VD":
-        return "DetectionLinks", F.to_json(record["DetectionLinks"]["DetectionLink"])
+        return "DetectionLinks", _array_json(_list(record, "$.DetectionLinks.DetectionLink"), _value_json)
     if cls.name == "VDLive":
-        return "LinkFlows", F.to_json(_links(record["LinkFlows"], _as_text))
+        vehicle = lambda v: _object_json(v, without=("Speed",))
+        lane = lambda x: _object_json(x, {"Vehicles": _array_json(_list(x, "$.Vehicles.Vehicle"), vehicle)})
+        link = lambda k: _object_json(k, {"Lanes": _array_json(_list(k, "$.Lanes.Lane"), lane)})
+        return "LinkFlows", _array_json(_list(record, "$.LinkFlows.LinkFlow"), link)
     if cls.name == "ETagPairLive":
-        return "Flows", F.to_json(record["Flows"]["Flow"])
+        return "Flows", _array_json(_list(record, "$.Flows.Flow"), _value_json)
     if cls.name == "CongestionLevel":
-        items = F.coalesce(record["Levels"]["LevelItem"], record["Levels"]["Level"])
-        empty = lambda k, v: k.isin(*NIL_LEVEL_FIELDS) & (F.coalesce(v, F.lit("")) == "")
-        return "Levels", F.to_json(F.transform(items, lambda item: F.map_filter(item, lambda k, v: ~empty(k, v))))
-    named = F.transform(record["LinkIDs"]["LinkID"], lambda x: F.create_map(F.lit("LinkID"), x))
-    return "LinkIDs", F.to_json(F.coalesce(record["LinkIDs"]["LinkIDItem"], named))
+        items = F.coalesce(_list(record, "$.Levels.LevelItem"), _list(record, "$.Levels.Level"))
+        return "Levels", _array_json(items, lambda item: _object_json(item, without=NIL_LEVEL_FIELDS))
+    named = lambda x: F.concat(F.lit('{"LinkID":'), _value_json(x), F.lit("}"))
+    return "LinkIDs", F.coalesce(_array_json(_list(record, "$.LinkIDs.LinkIDItem"), _value_json),
+                                 _array_json(_list(record, "$.LinkIDs.LinkID"), named))
+
+
+def _is_nested(value: Column) -> Column:
+    """Has children or is repeated; an element with no more than attributes and text is not nested."""
+    kind = F.schema_of_variant(value)
+    plain = F.forall(F.map_keys(F.try_variant_get(value, "$", _VARIANTS)), lambda k: k.startswith("@") | (k == "#text"))
+    return F.coalesce(kind.startswith("ARRAY") | (kind.startswith("OBJECT") & ~plain), F.lit(False))
 
 
-def _top_level(fields: Column, cls: RecordClass) -> Column:
+def _text(value: Column) -> Column:
+    """Text of an element that is not nested."""
+    inner = F.try_variant_get(value, "$['#text']", "string")
+    return _filled(_unmarked(F.when(F.schema_of_variant(value).startswith("OBJECT"), inner).otherwise(F.try_variant_get(value, "$", "string"))))
+
+
+def _record(value: Column, cls: RecordClass) -> Column:
+    """A record's ``fields`` (texts, or the JSON text of nested and repeated elements) and the names of those ``nested``."""
+    elements = F.coalesce(F.try_variant_get(value, "$", _VARIANTS), F.from_json(F.lit("{}"), _VARIANTS))
+    fields = F.transform_values(elements, lambda k, v: F.when(_is_nested(v), _value_json(v)).otherwise(_text(v)))
+    nested = F.map_keys(F.map_filter(elements, lambda k, v: _is_nested(v)))
+    if cls.name in _NESTED:
+        name, items = _list_json(cls, value)
+        given = F.map_filter(F.create_map(F.lit(name), items), lambda k, v: v.isNotNull())
+        fields = F.map_concat(F.map_filter(fields, lambda k, v: ~((k == name) & items.isNotNull())), given)
+        nested = F.when(items.isNotNull(), F.array_union(nested, F.array(F.lit(name)))).otherwise(nested)
     nil = nil_fields(cls)
     if nil:
         fields = F.map_filter(fields, lambda k, v: ~(k.isin(*nil) & (F.coalesce(v, F.lit("")) == "")))
-    return F.transform_values(fields, lambda k, v: _filled(v))
+    return F.struct(fields.alias("fields"), nested.alias("nested"))
 
 
 def _options(cls: RecordClass) -> dict[str, str]:
@@ -94,23 +153,15 @@ def _options(cls: RecordClass) -> dict[str, str]:
 
 
 def parse_documents(texts: DataFrame, column: str, cls: RecordClass) -> DataFrame:
-    """Adds ``header`` (struct) and ``records`` (array of field maps) for a column of XML documents."""
-    flat = F.from_xml(F.col(column), f"{HEADER}, {cls.container} struct<{cls.name}: {_ITEMS}>", _options(cls))
-    parsed = texts.withColumn("_doc", flat)
-    records = F.transform(F.col("_doc")[cls.container][cls.name], lambda fields: _top_level(fields, cls))
-    if cls.name in _NESTED:
-        nested = F.from_xml(F.col(column), f"{cls.container} struct<{cls.name}: array<struct<{_NESTED[cls.name]}>>>", _options(cls))
-        parsed = parsed.withColumn("_nested", nested)
-
-        def put(fields, record):
-            name, items = _flat_list(cls, record)
-            others = F.map_filter(fields, lambda k, v: k != name)
-            given = F.map_filter(F.create_map(F.lit(name), items), lambda k, v: v.isNotNull())
-            return F.map_concat(others, given)
-
-        records = F.zip_with(records, F.col("_nested")[cls.container][cls.name], put)
-    header = F.struct(*[F.col("_doc")[name].alias(name) for name in (part.split()[0] for part in HEADER.split(", "))])
-    return parsed.select(*texts.columns, header.alias("header"), records.alias("records"))
+    """Adds ``header`` (struct), ``records`` (array of field maps) and ``nested`` (their fields that are JSON text) for a
+    column of XML documents."""
+    schema = f"{HEADER}, {cls.container} struct<{cls.name}: array<variant>>"
+    options = _options(cls) | {"attributePrefix": "@", "valueTag": "#text"}
+    parsed = texts.withColumn("_doc", F.from_xml(_marked(F.col(column)), schema, options))
+    parsed = parsed.withColumn("_records", F.transform(F.col("_doc")[cls.container][cls.name], lambda r: _record(r, cls)))
+    header = F.struct(*[_unmarked(F.col("_doc")[name]).alias(name) for name in (part.split()[0] for part in HEADER.split(", "))])
+    return parsed.select(
+        *texts.columns, header.alias("header"), F.col("_records.fields").alias("records"), F.col("_records.nested").alias("nested"))
 
 
 def parse_batches(texts: DataFrame, column: str, cls: RecordClass, *, order: str) -> DataFrame:
@@ -127,14 +178,14 @@ def read_batches(spark: SparkSession, path: str, cls: RecordClass) -> DataFrame:
     return parse_batches(files, "value", cls, order="_file")
 
 
-DETECTOR_XML = f"VDID string, SubAuthorityCode string, Status string, DataCollectTime string, {_NESTED['VDLive']}"
+DETECTOR_XML = f"VDID string, SubAuthorityCode string, Status string, DataCollectTime string, {_LINK_FLOWS}"
 
 
 def _detector_rows(docs: DataFrame) -> DataFrame:
     return docs.select("header", F.inline("rows")).select(
         F.col("header"), "VDID", parse_iso(F.col("DataCollectTime")).alias("DataCollectTime"),
         _filled(F.col("SubAuthorityCode")).alias("SubAuthorityCode"), "Status",
-        _links(F.col("LinkFlows"), _typed).alias("LinkFlows"))
+        _links(F.col("LinkFlows")).alias("LinkFlows"))
 
 
 def parse_detectors(texts: DataFrame, column: str) -> DataFrame:
@@ -164,14 +215,14 @@ def read_detectors(spark: SparkSession, path: str, *, unit: str = "file") -> Dat
     return _detector_rows(docs.select(F.col("UpdateTime").alias("header"), F.col(f"{cls.container}.{cls.name}").alias("rows")))
 
 
-def record_json(fields: Column, cls: RecordClass) -> Column:
-    """A field map as a JSON object; the class's nested list is JSON already, everything else a string."""
-    nested = _NESTED.get(cls.name, "").split(" ")[0]
+def record_json(fields: Column, nested: Column) -> Column:
+    """A field map as a JSON object; the fields named in ``nested`` are JSON already, everything else a string."""
 
     def member(entry):
-        quoted = F.to_json(F.create_map(entry["key"], entry["value"]))
+        quoted = F.to_json(F.create_map(entry["key"], entry["value"]), {"ignoreNullFields": "false"})
         plain = F.substr(quoted, F.lit(2), F.length(quoted) - 2)
-        return F.when(entry["key"] == nested, F.concat(F.lit(f'"{nested}":'), entry["value"])).otherwise(plain)
+        given = F.concat(F.lit('"'), entry["key"], F.lit('":'), entry["value"])
+        return F.when(F.array_contains(nested, entry["key"]), given).otherwise(plain)
 
     return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(fields), member), ","), F.lit("}"))
 
@@ -179,7 +230,7 @@ def record_json(fields: Column, cls: RecordClass) -> Column:
 def document_json(docs: DataFrame, cls: RecordClass) -> DataFrame:
     """Parsed documents as JSON batch documents, one ``json`` row each; nothing is exploded or grouped."""
     header = F.to_json(F.col("header"))
-    body = F.array_join(F.transform("records", lambda fields: record_json(fields, cls)), ",")
+    body = F.array_join(F.zip_with("records", "nested", record_json), ",")
     opening = F.substr(header, F.lit(1), F.length(header) - 1)
     comma = F.when(header == "{}", F.lit("")).otherwise(F.lit(","))
     return docs.select(F.concat(opening, comma, F.lit(f'"{cls.container}":['), body, F.lit("]}")).alias("json"))
