@@ -103,8 +103,8 @@ class Scorer:
             self.used += 1
             self.size += 150 + 2 * len(stretch) + 8 * len(self.langs)
 
-    def scores(self, texts: list[str | None]):
-        """``(language, score)`` of each text."""
+    def totals(self, texts: list[str | None]):
+        """The log score of each text in each language, and last its number of words."""
         for some in batches(texts):
             split = [(x or "").encode().split() for x in some]
             new = set().union(*split).difference(self.row)
@@ -114,12 +114,16 @@ class Scorer:
             self.learn(new)
             row = self.row
             for stretches in split:
-                total = self.table[[row[x] for x in stretches]].sum(axis=0) if stretches else np.zeros(len(self.langs) + 1)
-                if not total[-1] or not self.langs:
-                    yield UNKNOWN, 0.0
-                else:
-                    best = int(total[:-1].argmax())
-                    yield self.langs[best], 1.0 / float(np.exp(np.maximum(total[:-1] - total[best], -math.log(1e300))).sum())
+                yield self.table[[row[x] for x in stretches]].sum(axis=0) if stretches else np.zeros(len(self.langs) + 1)
+
+    def scores(self, texts: list[str | None]):
+        """``(language, score)`` of each text."""
+        for total in self.totals(texts):
+            if not total[-1] or not self.langs:
+                yield UNKNOWN, 0.0
+            else:
+                best = int(total[:-1].argmax())
+                yield self.langs[best], 1.0 / float(np.exp(np.maximum(total[:-1] - total[best], -math.log(1e300))).sum())
 
 
 def predicted(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,13 +153,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``documents`` without those in no known language; all columns stay, ``lang`` as it was."""
+    """``documents`` without texts that are null or without letters, whatever the model knows; all columns stay, ``lang`` as it was."""
     model = fitted(docs.filter(~held_out()).select("text", "lang"))
-    labelled = _with_prediction(docs, model)
-    return labelled.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return _with_letters(docs, model).filter("_lettered").select(*docs.columns)
 
 
-def _with_prediction(docs: DataFrame, model: dict) -> DataFrame:
+def _with_letters(docs: DataFrame, model: dict) -> DataFrame:
     shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index("text")
@@ -163,7 +166,7 @@ def _with_prediction(docs: DataFrame, model: dict) -> DataFrame:
     def run(incoming):
         scorer = Scorer(shared.value)
         for batch in incoming:
-            langs = pa.array([lang for lang, _ in scorer.scores(batch.column(at).to_pylist())], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, langs], [*batch.schema.names, "lang_pred"])
+            lettered = pa.array([bool(total[-1]) for total in scorer.totals(batch.column(at).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, lettered], [*batch.schema.names, "_lettered"])
 
-    return docs.mapInArrow(run, f"{schema}, lang_pred string")
+    return docs.mapInArrow(run, f"{schema}, _lettered boolean")
