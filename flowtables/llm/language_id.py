@@ -33,7 +33,8 @@ WORD = r"\p{L}+"
 def sampled(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """``lang, text``: about ``per_language`` different texts of each language, chosen by the hash of the text."""
     known = labelled.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language, as the model has
+    texts = known.select("lang", "h").distinct()  # copies count once: they are one text in the sample
+    counts = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language, as the model has
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["n"])])[F.col("lang")] if counts else F.lit(0.0)
     chosen = known.filter(F.shiftrightunsigned("h", 1).cast("double") / F.lit(float(2**63)) < share)
     return chosen.dropDuplicates(["lang", "h"]).select("lang", "text")

@@ -9,3 +9,8 @@ def test_the_stage_keeps_texts_with_letters_without_any_label(spark):
     docs = spark.createDataFrame([(1, "the cat", None), (2, None, None), (3, "12 !", None), (4, "der Hund", None)], SCHEMA)
     left = language_id.drop_unidentified(docs)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 4]
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    rows = [(k, f"word{k} other{k}", "en") for k in range(100)] + [(k, "a copy", "en") for k in range(100, 2000)]
+    assert language_id.sampled(spark.createDataFrame(rows, SCHEMA), 200).count() == 101
