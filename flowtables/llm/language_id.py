@@ -13,7 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtables.llm.stage import small_batches
@@ -44,16 +44,23 @@ def fitted(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict
     """The model: ``langs``, and for words and n-grams the row of each in a table of log frequencies by language."""
     words = sampled(labelled, per_language).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("w"))
     counts = words.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.filter("n > 1").orderBy(F.desc("n"), "lang", "w").limit(MODEL_WORDS)  # the size of the model, not of the data
+    top = _commonest(counts, MODEL_WORDS)  # the size of the model, not of the data
     padded = F.concat(F.lit("^"), F.col("w"), F.lit("$"))
     grams = counts.select("lang", "n", padded.alias("p")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(LONGEST_GRAM))))
     grams = grams.filter(F.length("p") >= F.col("k")).select("lang", "n", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("p") - F.col("k") + 1), lambda i: F.substring(F.col("p"), i, F.col("k")))).alias("w"))
-    grams = grams.groupBy("lang", "w").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "lang", "w").limit(MODEL_GRAMS)
+    grams = _commonest(grams.groupBy("lang", "w").agg(F.sum("n").alias("n")), MODEL_GRAMS)
     langs = sorted(r["lang"] for r in labelled.filter("lang is not null").select("lang").distinct().collect())
     return {"langs": langs, "words": _table(top, langs, False), "grams": _table(grams, langs, True)}
 
 
+def _commonest(counts: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` entries: of each language equally many, its commonest; what one does not need goes to the others."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))
+    ranked = counts.filter("n > 1").withColumn("place", place).filter(F.col("place") <= limit)
+    return ranked.orderBy("place", "lang").limit(limit).select("lang", "w", "n")
+
+
 def _table(counts: DataFrame, langs: list[str], by_length: bool) -> tuple[dict[str, int], np.ndarray]:
     column, rows = {x: k for k, x in enumerate(langs)}, {}
     found = counts.toPandas()
