@@ -18,13 +18,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from flowtables.llm.stage import new_path, small_batches, stored
 from flowtables.llm.tokens import StretchEncoder, read_spec
 
 SEQUENCE = 2048
 SHARD = 2048
-END_ID = 49407  # of word_bpe_49k, the last id; ids fit 16 bits
+END_ID = 49407  # of word_bpe_49k, the last id; ids are written in 16 bits
 ROUNDS = 6
 
 
@@ -73,13 +74,20 @@ def sequences_of(slots, n: int, seed: int) -> np.ndarray:
     return _walk(_inverse, slots, n, seed)
 
 
-def token_table(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``doc_id, ids`` of each row: its ids and the end id as little-endian unsigned 16-bit integers."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
+def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+    """``doc_id, ids`` of each row: its ids and the end id as little-endian unsigned 16-bit integers.
+
+    A tokenizer with larger ids than these hold is refused.
+    """
+    text = read_spec(tokenizer_path)
+    last = max(Tokenizer.from_str(text).get_vocab(with_added_tokens=True).values(), default=0)
+    if not 0 <= end_id < 1 << 16 or last >= 1 << 16:
+        raise ValueError(f"ids do not fit 16 bits: the tokenizer's last id is {last}, the end id {end_id}")
+    spec = docs.sparkSession.sparkContext.broadcast(text)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
-        end = np.array([END_ID], "<u2").tobytes()
+        end = np.array([end_id], "<u2").tobytes()
         coder = StretchEncoder(spec.value)
         for batch in batches:
             ids = pa.array([x.astype("<u2").tobytes() + end for x in coder.encoded(batch.column(1))], pa.binary())
@@ -144,7 +152,7 @@ def _sequences(tokens: DataFrame, starts: dict[int, tuple[int, int]], length: in
 
 
 def materialise(docs: DataFrame, root: str, tokenizer_path: str, seed: int = 0, length: int = SEQUENCE, shard: int = SHARD,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Writes shard files of 16-bit ids under ``root`` (shared) and returns what they hold, one row a sequence:
     ``slot, sequence_id, shard, offset`` (bytes in the file), ``n_tokens, ids_crc32, doc_ids``.
 
@@ -155,7 +163,7 @@ def materialise(docs: DataFrame, root: str, tokenizer_path: str, seed: int = 0,
     """
     spark = small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = stored(token_table(texts, tokenizer_path), "tokens")
+    tokens = stored(token_table(texts, tokenizer_path, end_id), "tokens")
     counts = _token_counts(tokens)
     begins = np.cumsum([0] + [n for _, n in counts])
     total = int(begins[-1])
@@ -165,14 +173,14 @@ def materialise(docs: DataFrame, root: str, tokenizer_path: str, seed: int = 0,
     ordered = dealt.repartitionById(max(1, -(-n // shard)), F.col("shard").cast("int")).sortWithinPartitions("slot", "at")
     kind = texts.schema["doc_id"].dataType.simpleString()
     out = "slot long, sequence_id long, shard long, offset long, n_tokens long, ids_crc32 long, doc_ids array<" + kind + ">"
-    return stored(ordered.mapInArrow(_writer(root, length, shard), out), "manifest")
+    return stored(ordered.mapInArrow(_writer(root, length, shard, end_id), out), "manifest")
 
 
 def shard_name(k: int) -> str:
     return f"shard-{k:09d}.bin"
 
 
-def _writer(root: str, length: int, shard: int):
+def _writer(root: str, length: int, shard: int, end_id: int):
     def write(batches):
         from pyarrow import fs
 
@@ -197,7 +205,7 @@ def _writer(root: str, length: int, shard: int):
                 name = (target, f".{target}.{uuid.uuid4().hex}")
                 file = store.open_output_stream(f"{folder}/{name[1]}")
             ids = b"".join(p["ids"] for p in parts)
-            file.write(ids + np.full(length - len(ids) // 2, END_ID, "<u2").tobytes())
+            file.write(ids + np.full(length - len(ids) // 2, end_id, "<u2").tobytes())
             docs = list(dict.fromkeys(d for p in parts for d in p["doc_ids"]))
             return (slot, sequence, slot // shard, slot % shard * length * 2, len(ids) // 2, zlib.crc32(ids), docs)
 
