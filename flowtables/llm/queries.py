@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from flowtables.llm import (
     backtrack_bpe,
     bestfit_packing,
+    bwt_dedup,
     chunk_dedup,
     language_id,
     minhash_dedup,
@@ -66,6 +67,10 @@ def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preference_chat.answer_swaps(preference_chat.conversations_of(table(spark, sf_dir, "conversations")))
     return preference_chat.digest(preference_chat.format_pairs(pairs))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup,
     "op9_preference_format": preference_format,
     "op10_substring_dedup": passage_dedup,
+    "op12_suffix_array_dedup": byte_dedup,
 }
 ORACLES: dict[str, str] = {
     "op5_minhash_dedup": minhash_dedup.SQL,
@@ -90,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op8_exact_dedup": chunk_dedup.SQL,
     "op9_preference_format": preference_chat.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
+    "op12_suffix_array_dedup": bwt_dedup.SQL,
 }
