@@ -12,6 +12,7 @@ from flowtables.llm import (
     bestfit_packing,
     bwt_dedup,
     chunk_dedup,
+    collocations,
     language_id,
     minhash_dedup,
     preference_chat,
@@ -71,6 +72,10 @@ def byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
 
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = preference_chat.answer_swaps(preference_chat.conversations_of(table(spark, sf_dir, "conversations")))
     return preference_chat.digest(preference_chat.format_pairs(pairs))
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_preference_format": preference_format,
     "op10_substring_dedup": passage_dedup,
     "op12_suffix_array_dedup": byte_dedup,
+    "op13_phrase_mining": phrase_mining,
 }
 ORACLES: dict[str, str] = {
     "op5_minhash_dedup": minhash_dedup.SQL,
@@ -97,4 +103,5 @@ ORACLES: dict[str, str] = {
     "op9_preference_format": preference_chat.SQL,
     "op10_substring_dedup": substring_dedup.SQL,
     "op12_suffix_array_dedup": bwt_dedup.SQL,
+    "op13_phrase_mining": collocations.SQL,
 }
