@@ -18,12 +18,14 @@ from flowtables.llm import (
     preference_chat,
     secret_scan,
     substring_dedup,
+    token_alignment,
     training_order,
     vector_dedup,
 )
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,10 @@ def passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def token_alignment_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
 def byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup,
     "op9_preference_format": preference_format,
     "op10_substring_dedup": passage_dedup,
+    "op11_token_alignment": token_alignment_of,
     "op12_suffix_array_dedup": byte_dedup,
     "op13_phrase_mining": phrase_mining,
 }
