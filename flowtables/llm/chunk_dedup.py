@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtables.llm.stage import stored
+from flowtables.llm.stage import free_name, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: A chunk ends after 512 characters or more where a word with one of these ends meets a word with one of these starts;
@@ -73,11 +73,11 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     The kept row of a text is found again by its id and its text, as ids may be missing or repeated.
     """
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256)
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256"))
-    held = docs.withColumn("_text_sha256", digest)
-    held = held.join(
-        kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_sha256") == F.col("_kept_sha256")), "left_semi")
-    return held.dropDuplicates(["doc_id", "_text_sha256"]).drop("_text_sha256")
+    own, kept_id, kept_digest = (free_name(docs, name) for name in ("own_sha256", "kept_id", "kept_sha256"))
+    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_digest))
+    held = docs.withColumn(own, digest)
+    held = held.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(own) == F.col(kept_digest)), "left_semi")
+    return held.dropDuplicates(["doc_id", own]).drop(own)
 
 
 SQL = r"""

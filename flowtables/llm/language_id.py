@@ -161,20 +161,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def drop_unidentified(docs: DataFrame) -> DataFrame:
-    """``documents`` without texts that are null or without letters, whatever the model knows; all columns stay, ``lang`` as it was."""
-    model = fitted(docs.filter(~held_out()).select("text", "lang"))
-    return _with_letters(docs, model).filter("_lettered").select(*docs.columns)
-
+    """``documents`` without texts in no language: null, or without letters, whatever the model knows. All columns stay.
 
-def _with_letters(docs: DataFrame, model: dict) -> DataFrame:
+    A null ``lang`` becomes the language predicted for the text, where the model has learned any; a given one is not changed.
+    """
+    model = fitted(docs.filter(~held_out()).select("text", "lang"))
     shared = small_batches(docs.sparkSession).sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = docs.columns.index("text")
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(incoming):
         scorer = Scorer(shared.value)
         for batch in incoming:
-            lettered = pa.array([bool(total[-1]) for total in scorer.totals(batch.column(at).to_pylist())], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, lettered], [*batch.schema.names, "_lettered"])
-
-    return docs.mapInArrow(run, f"{schema}, _lettered boolean")
+            totals = list(scorer.totals(batch.column(text_at).to_pylist()))
+            given = batch.column(lang_at).to_pylist()
+            lettered = [bool(total[-1]) for total in totals]
+            lang = [scorer.langs[int(total[:-1].argmax())] if own is None and found and scorer.langs else own
+                    for total, own, found in zip(totals, given, lettered, strict=True)]
+            columns = [pa.array(lang, pa.string()) if k == lang_at else column for k, column in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pa.array(lettered, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

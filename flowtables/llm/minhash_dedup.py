@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowtables.llm.blocks import in_blocks, pairs_within, whole_groups
 from flowtables.llm.components import components
-from flowtables.llm.stage import small_batches, stored
+from flowtables.llm.stage import free_name, small_batches, stored
 from flowtables.llm.words import WordHashes, mixed, odd_numbers, window_hashes
 
 WIDTH = 5
@@ -239,9 +239,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """``documents`` with one of each group of near copies, that with the smallest id; all columns stay."""
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """``documents`` with one row of each group of near copies, that with the smallest id (none comes last); all columns stay.
+
+    The decision is by row, so rows that share an id or have none are compared and kept or dropped each by its own text.
+    """
+    row = free_name(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd")
+    found = near_duplicates(rows, id_col=row).join(rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+    place = F.struct(F.col("id").isNull(), "id", "doc_id")
+    groups = stored(found.select("component_id", "doc_id", "id"), "groups")
+    several = groups.groupBy("component_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dropped = groups.join(several, "component_id").filter(F.col("doc_id") != F.col("first.doc_id"))
+    gone = free_name(rows, "gone")
+    return rows.join(dropped.select(F.col("doc_id").alias(gone)), F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 SQL = r"""

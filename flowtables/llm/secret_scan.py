@@ -45,8 +45,10 @@ def _matches(text: Column, k: int) -> Column:
 def spans_of(blobs: DataFrame) -> DataFrame:
     """``sha, spans`` of every row of ``sha, text``, spans by start, then kind; positions are code points, ends exclusive."""
     kinds = blobs.select("sha", F.array_compact(F.array(*[_matches(F.col("text"), k) for k in range(len(RULES))])).alias("kinds"))
+    # Of explode() the optimiser infers that kinds must hold something, and asks that of every text before the ledger is
+    # consulted; explode_outer() leaves the patterns to the texts that are left.
     each = (
-        kinds.select("sha", F.explode("kinds").alias("x"))
+        kinds.select("sha", F.explode_outer("kinds").alias("x")).filter("x is not null")
         .select("sha", "x.kind", F.posexplode("x.found").alias("n", "m"))
         .select("sha", "kind", "n", "m.*"))
     order = Window.partitionBy("sha", "kind").orderBy("n")
@@ -106,8 +108,9 @@ def redact(docs: DataFrame, ledger: str) -> DataFrame:
     cut = F.aggregate("spans", start, lambda a, s: F.struct(
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("_t.text"), a["at"] + 1, s["start"] - a["at"]), F.lit("[SECRET]")))
         .otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at")))
-    joined = docs.alias("_t").join(
-        found.alias("_f"), F.col("_t.doc_id").eqNullSafe(F.col("at_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_t"))  # no column can clash
+    joined = rows.join(
+        found, F.col("_t.doc_id").eqNullSafe(F.col("at_id"))
         & (F.sha2(F.coalesce(F.col("_t.text"), F.lit("")).cast("binary"), 256) == F.col("at_sha")), "left")
     joined = joined.withColumn("_cut", F.when(F.col("spans").isNotNull(), cut))
     clean = F.when(F.col("_cut").isNull(), F.col("_t.text")).otherwise(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +25,33 @@ def small_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def stored(frame: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def without_leftovers(spark: SparkSession):
+    """A query's shuffle files go when it ends, not when the driver happens to collect garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def stored(frame: DataFrame, label: str, codec: str | None = None) -> DataFrame:
     """Write ``frame`` once and read it back: cuts the lineage, and a lost executor costs only the reading tasks."""
-    path = new_path(frame.sparkSession, label)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    spark = frame.sparkSession
+    path = new_path(spark, label)
+    with without_leftovers(spark):
+        frame.write.parquet(path, compression=codec)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, or something like it that ``frame`` has no column of (names are compared without case)."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def discard(*frames: DataFrame) -> None:
