@@ -110,8 +110,35 @@ def merge_typed(target: DataFrame, batch: DataFrame, cls: RecordClass) -> DataFr
     Reads never tell a null field from an absent one, so the table needs no presence marks; the batch does.
     """
     id_field, time_field = cls.key
-    columns = {f.name: f.dataType.simpleString() for f in target.schema if f.name not in (*cls.key, "extra")}
     given = last_fields(batch).select(F.col("id").alias(id_field), F.col("time").alias(time_field), F.col("fields").alias("_given"))
+    return target.join(given, list(cls.key), "full").select(*_with_given(_columns(target, cls), cls))
+
+
+def merge_layers(target: DataFrame, deltas: DataFrame, cls: RecordClass) -> DataFrame:
+    """The class's table with small layers of given fields put over it in order: ``id, time, fields, seq``.
+
+    A key has one row at most in the target and one in each layer. Records and layers meet in one grouping by key, so filters on
+    the key reach all of them.
+    """
+    id_field, time_field = cls.key
+    columns = _columns(target, cls)
+    old = target.select(*cls.key, F.struct(*columns, "extra").alias("_old"), F.lit(None).cast("struct<seq:int,fields:map<string,string>>").alias("_new"))
+    kind = old.schema["_old"].dataType
+    new = deltas.select(
+        F.col("id").alias(id_field), F.col("time").alias(time_field), F.lit(None).cast(kind).alias("_old"),
+        F.struct(F.col("seq").cast("int").alias("seq"), "fields").alias("_new"))
+    keyed = old.unionByName(new).groupBy(*cls.key).agg(F.first("_old", ignorenulls=True).alias("_old"), F.collect_list("_new").alias("_new"))
+    in_order = F.array_sort("_new", lambda a, b: a["seq"] - b["seq"])
+    given = F.aggregate(in_order, F.lit(None).cast("map<string,string>"), lambda fields, x: overlay(fields, x["fields"]))
+    return keyed.select(*cls.key, "_old.*", given.alias("_given")).select(*_with_given(columns, cls))
+
+
+def _columns(target: DataFrame, cls: RecordClass) -> dict[str, str]:
+    return {f.name: f.dataType.simpleString() for f in target.schema if f.name not in (*cls.key, "extra")}
+
+
+def _with_given(columns: dict[str, str], cls: RecordClass) -> list:
+    """The table's columns, from the old ones beside ``_given``, the map of given fields."""
     new = F.col("_given")
     merged = [
         F.when(F.coalesce(F.map_contains_key(new, name), F.lit(False)), _typed(new[name], kind)).otherwise(F.col(name)).alias(name)
@@ -120,7 +147,7 @@ def merge_typed(target: DataFrame, batch: DataFrame, cls: RecordClass) -> DataFr
     declared = F.array(*[F.lit(name) for name in (*cls.key, *columns)])
     unknown = F.map_filter(new, lambda k, v: ~F.array_contains(declared, k) | _more(k, v, columns))
     old = F.when(new.isNull(), F.col("extra")).otherwise(F.map_filter("extra", lambda k, _: ~F.map_contains_key(new, k)))
-    return target.join(given, list(cls.key), "full").select(*cls.key, *merged, overlay(old, unknown).alias("extra"))
+    return [*cls.key, *merged, overlay(old, unknown).alias("extra")]
 
 
 def _more(name: Column, text: Column, columns: dict[str, str]) -> Column:

@@ -26,13 +26,16 @@ def read_lines(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def start_upsert(lines: DataFrame, spark: SparkSession, root: str, authority: str, dataclass: str, *,
-                 checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Every micro-batch is upserted into the class table. A replayed batch changes nothing."""
+                 checkpoint: str, trigger: dict, compact_every: int = 100) -> StreamingQuery:
+    """Every micro-batch is upserted into the class table, writing only the fields it gives; every ``compact_every`` batches the
+    layers so made are compacted. A batch replayed after a crash is known by its number and changes nothing."""
     cls = record_class(dataclass, LIVE_UPLOAD)
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
         keyed = upsert.key_live(jsonrecords.in_arrival_order(batch), cls)
-        tables.upsert_into(batch.sparkSession, root, authority, dataclass, keyed)
+        tables.upsert_delta(batch.sparkSession, root, authority, dataclass, keyed, stream=checkpoint, batch_no=number)
+        if number % compact_every == compact_every - 1:
+            tables.compact(batch.sparkSession, root, authority, dataclass)
 
     return lines.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

@@ -7,6 +7,8 @@ Batches hold at most 64 events (or 50 cameras): rows of consecutive unique ids.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,3 +241,93 @@ def upsert_table(spark, sf_dir):
     return tables.scan(spark, root, "NFB", "VDLive").select(
         F.col("VDID").alias("oid"), ntz("DataCollectTime", "day"), F.col("Status").alias("status"),
         F.col("extra")["value"].try_cast("double").alias("value"))
+
+
+def _detector_records(spark, sf_dir, types: tuple[str, ...], field: str) -> DataFrame:
+    """Keyed records of the events of some types, which give the detector-day one field: the event's number."""
+    fields = F.create_map(
+        F.lit("VDID"), F.concat(F.lit("VD-"), F.col("user_id").cast("string")), F.lit("DataCollectTime"), F.expr(_DAY_TEXT),
+        F.lit(field), F.col("event_id").cast("string"))
+    rows = events(spark, sf_dir).where(F.col("event_type").isin(*types)).select(
+        F.lit(None).cast("string").alias("header"), fields.alias("fields"), F.col("event_id").alias("seq"))
+    return upsert.key_live(rows, CLASSES["VDLive"])
+
+
+def _last_numbers(stored: DataFrame, *names: str) -> DataFrame:
+    extra = [F.col("extra")[name].cast("bigint").alias(name) for name in names]
+    return stored.select(F.col("VDID").alias("oid"), ntz("DataCollectTime", "day"), *extra)
+
+
+_LAST_NUMBERS = """
+SELECT 'VD-' || user_id AS oid, date_trunc('day', ts) AS day, max(event_id) FILTER (event_type IN ('view', 'signup')) AS seen,
+       max(event_id) FILTER (event_type = 'click') AS clicked, max(event_id) FILTER (event_type IN ('purchase', 'error')) AS bought
+FROM events GROUP BY ALL"""
+
+
+@query("upsert_two_writers", _LAST_NUMBERS)
+def upsert_two_writers(spark, sf_dir):
+    """Two uploads to the same days at once, over a stored table: every field that either gives is there."""
+    root = scratch_path(spark, "two-writers")
+
+    def upload(types, field):
+        tables.upsert_into(spark, root, "NFB", "VDLive", _detector_records(spark, sf_dir, types, field))
+
+    upload(("view", "signup"), "seen")
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(upload, ("click",), "clicked"), pool.submit(upload, ("purchase", "error"), "bought")]:
+            done.result()
+    return _last_numbers(tables.scan(spark, root, "NFB", "VDLive"), "seen", "clicked", "bought")
+
+
+@query("upsert_replay", _LAST_NUMBERS)
+def upsert_replay(spark, sf_dir):
+    """An upload that died after writing its files and before its commit has left the table as it was; done again, it counts once."""
+    root = scratch_path(spark, "replayed")
+    detector = CLASSES["VDLive"]
+    log = tables.log_of(spark, root, "NFB", "VDLive")
+    for types, field in ((("view", "signup"), "seen"), (("click",), "clicked"), (("purchase", "error"), "bought")):
+        batch = _detector_records(spark, sf_dir, types, field)
+        dead = upsert.last_fields(batch).withColumn("fields", F.transform_values("fields", lambda k, v: F.lit("-1")))
+        tables.write_layer(dead, log, detector, "d", ("id", "time"))
+        tables.upsert_into(spark, root, "NFB", "VDLive", batch)
+    return _last_numbers(tables.scan(spark, root, "NFB", "VDLive"), "seen", "clicked", "bought")
+
+
+@query("upsert_layers", _LAST_NUMBERS)
+def upsert_layers(spark, sf_dir):
+    """Small layers of given fields put over the stored records by the read itself, one of them after a compaction."""
+    root = scratch_path(spark, "layers")
+    for number, (types, field) in enumerate(((("view", "signup"), "seen"), (("click",), "clicked"), (("purchase", "error"), "bought"))):
+        batch = _detector_records(spark, sf_dir, types, field)
+        for _ in range(2):  # a replayed batch is known by its number
+            tables.upsert_delta(spark, root, "NFB", "VDLive", batch, stream="events", batch_no=number)
+        if number == 1:
+            tables.compact(spark, root, "NFB", "VDLive")
+    return _last_numbers(tables.scan(spark, root, "NFB", "VDLive"), "seen", "clicked", "bought")
+
+
+@query("append_two_writers", """
+SELECT 'VD-' || user_id AS oid, date_trunc('day', ts) AS day, count(*) AS n FROM (
+  SELECT DISTINCT user_id, ts::DATE AS ts FROM events WHERE event_type IN ('click', 'purchase', 'error')) GROUP BY ALL""")
+def append_two_writers(spark, sf_dir):
+    """Two insert-if-absent uploads at once: a key that both bring is stored once."""
+    root = scratch_path(spark, "two-appends")
+    batches = [_detector_records(spark, sf_dir, types, "number") for types in (("click", "purchase"), ("click", "error"))]
+    with ThreadPoolExecutor(2) as pool:
+        for done in [pool.submit(tables.append_new, spark, root, "NFB", "VDLive", batch) for batch in batches]:
+            done.result()
+    return tables.scan(spark, root, "NFB", "VDLive").groupBy(F.col("VDID").alias("oid"), ntz("DataCollectTime", "day")).agg(
+        F.count("*").alias("n"))
+
+
+@query("scan_many_ids", """
+SELECT 'VD-' || user_id AS oid, date_trunc('day', ts) AS day, max(event_id) AS seen FROM events
+WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY ALL""")
+def scan_many_ids(spark, sf_dir):
+    """All days of many detectors: the table's key index says which files hold them, and no other is opened."""
+    root = scratch_path(spark, "many-ids")
+    everything = ("view", "signup", "click", "purchase", "error")
+    tables.upsert_into(spark, root, "NFB", "VDLive", _detector_records(spark, sf_dir, everything, "seen"))
+    wanted = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(
+        F.concat(F.lit("VD-"), F.col("c_custkey").cast("string")).alias("id"))
+    return _last_numbers(tables.scan_ids(spark, root, "NFB", "VDLive", wanted), "seen")
