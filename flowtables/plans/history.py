@@ -68,15 +68,17 @@ class TrafficHistory:
     # Uploads
 
     def upload_batch(self, authority: str, dataclass: str, path: str, *, multi_line: bool = True) -> DataFrame:
-        """Upsert JSON batch documents; returns the rejected records."""
+        """Upsert JSON batch documents; returns the rejected records and the documents that could not be read."""
         cls = record_class(dataclass)
-        return self._upsert(authority, dataclass, upsert.key_batch(
+        rejected = self._upsert(authority, dataclass, upsert.key_batch(
             jsonrecords.read_batches(self.spark, path, cls, multi_line=multi_line), cls))
+        return rejected.unionByName(jsonrecords.unreadable(self.spark, path, cls, multi_line=multi_line), allowMissingColumns=True)
 
     def upload_batch_xml(self, authority: str, dataclass: str, path: str) -> DataFrame:
-        """Upsert XML batch documents, one per file; returns the rejected records."""
+        """Upsert XML batch documents, one per file of any size; returns the rejected records and what could not be read."""
         cls = record_class(dataclass)
-        return self._upsert(authority, dataclass, upsert.key_batch(xmlrecords.read_batches(self.spark, path, cls), cls))
+        rejected = self._upsert(authority, dataclass, upsert.key_batch(xmlrecords.read_batches(self.spark, path, cls), cls))
+        return rejected.unionByName(xmlrecords.unreadable(self.spark, path, cls), allowMissingColumns=True)
 
     def upload_live(self, authority: str, dataclass: str, path: str) -> DataFrame:
         """Upsert single live records, one JSON document per line; returns the rejected records."""

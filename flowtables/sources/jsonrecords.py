@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from flowtables.catalog import RecordClass
 
 FIELDS = "map<string,string>"
+CORRUPT = "_unreadable"
 
 
 def envelope_schema(cls: RecordClass) -> str:
@@ -30,8 +31,24 @@ def _place(rows: DataFrame) -> DataFrame:
 
 def read_batches(spark: SparkSession, path: str, cls: RecordClass, *, multi_line: bool = True) -> DataFrame:
     """Batch documents from files: one document per file, or one per line (splittable) when not ``multi_line``."""
-    docs = spark.read.schema(envelope_schema(cls)).option("multiLine", multi_line).json(path)
-    return _records(_place(docs), cls)
+    return _records(_place(_documents(spark, path, cls, multi_line)), cls)
+
+
+def _documents(spark: SparkSession, path: str, cls: RecordClass, multi_line: bool) -> DataFrame:
+    reader = spark.read.schema(f"{envelope_schema(cls)}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT)
+    return reader.option("multiLine", multi_line).json(path)
+
+
+def unreadable(spark: SparkSession, path: str, cls: RecordClass, *, multi_line: bool = True) -> DataFrame:
+    """``file, offset, reason, content``: one row for each document that is no JSON or lacks the class's container.
+
+    ``offset`` is where the split begins that holds the document.
+    """
+    docs = _documents(spark, path, cls, multi_line).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset"),
+        F.when(F.col(CORRUPT).isNotNull(), "no JSON").when(F.col(cls.container).isNull(), "no container").alias("reason"),
+        F.col(CORRUPT).alias("content"))
+    return docs.where("reason IS NOT NULL")
 
 
 def parse_batches(texts: DataFrame, column: str, cls: RecordClass, *, order: str) -> DataFrame:

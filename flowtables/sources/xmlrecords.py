@@ -6,6 +6,8 @@ ones arrays. The lists that a class declares are arrays for one child and for ma
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +56,15 @@ def _typed(text: Column, kind: str) -> Column:
     return text.try_cast(kind)
 
 
-#: Stands before every text and attribute while a document is read as variants, so that none is taken for a number.
-_MARK = "\ue000\uf8ff"
+#: Stands around every text and before every attribute while a document is read as variants, so that none is taken for a number
+#: and no space at its ends is lost. Marks in the middle of a text, say in CDATA, do no harm: all are taken out again.
+_MARK = ""
 _VARIANTS = "map<string,variant>"
+_TAG = r"""<(?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+>"""
 
 
 def _marked(text: Column) -> Column:
-    for pattern, put in ((r">\s*(?=[^<\s])", f">{_MARK}"), (r"<!\[CDATA\[", f"<![CDATA[{_MARK}"),
+    for pattern, put in ((rf"({_TAG})(\s*+[^<]++)", f"$1{_MARK}$2{_MARK}"), (r"<!\[CDATA\[", f"<![CDATA[{_MARK}"),
                          (r"(?<!version)(?<!encoding)(?<!standalone)=([\"'])", f"=$1{_MARK}")):
         text = F.regexp_replace(text, pattern, put)
     return text
@@ -120,23 +124,31 @@ def _list_json(cls: RecordClass, record: Column) -> tuple[str, Column]:
 
 
 def _is_nested(value: Column) -> Column:
-    """Has children or is repeated; an element with no more than attributes and text is not nested."""
+    """Has children, attributes or is repeated; one with no more than text, or that is nil, is not nested."""
     kind = F.schema_of_variant(value)
-    plain = F.forall(F.map_keys(F.try_variant_get(value, "$", _VARIANTS)), lambda k: k.startswith("@") | (k == "#text"))
+    plain = F.forall(F.map_keys(F.try_variant_get(value, "$", _VARIANTS)), lambda k: (k == "@nil") | k.startswith("@xmlns") | (k == "#text"))
     return F.coalesce(kind.startswith("ARRAY") | (kind.startswith("OBJECT") & ~plain), F.lit(False))
 
 
 def _text(value: Column) -> Column:
-    """Text of an element that is not nested."""
+    """An element's own text."""
     inner = F.try_variant_get(value, "$['#text']", "string")
     return _filled(_unmarked(F.when(F.schema_of_variant(value).startswith("OBJECT"), inner).otherwise(F.try_variant_get(value, "$", "string"))))
 
 
+def _scalar_names(cls: RecordClass) -> tuple[str, ...]:
+    """Fields that are single texts or times by declaration: of these an element's attributes are not kept."""
+    declared = (part.split(" ", 1) for part in re.split(r", (?=\w+ (?:string|timestamp|array|map))", cls.schema))
+    return (*(name for name, kind in declared if kind in ("string", "timestamp")), "UpdateTime", "DataCollectTime")
+
+
 def _record(value: Column, cls: RecordClass) -> Column:
     """A record's ``fields`` (texts, or the JSON text of nested and repeated elements) and the names of those ``nested``."""
     elements = F.coalesce(F.try_variant_get(value, "$", _VARIANTS), F.from_json(F.lit("{}"), _VARIANTS))
-    fields = F.transform_values(elements, lambda k, v: F.when(_is_nested(v), _value_json(v)).otherwise(_text(v)))
-    nested = F.map_keys(F.map_filter(elements, lambda k, v: _is_nested(v)))
+    scalar = _scalar_names(cls)
+    whole = lambda k, v: _is_nested(v) & ~(k.isin(*scalar) & F.schema_of_variant(v).startswith("OBJECT"))
+    fields = F.transform_values(elements, lambda k, v: F.when(whole(k, v), _value_json(v)).otherwise(_text(v)))
+    nested = F.map_keys(F.map_filter(elements, whole))
     if cls.name in _NESTED:
         name, items = _list_json(cls, value)
         given = F.map_filter(F.create_map(F.lit(name), items), lambda k, v: v.isNotNull())
@@ -171,11 +183,75 @@ def parse_batches(texts: DataFrame, column: str, cls: RecordClass, *, order: str
         "header", "fields", F.struct("_order", "_pos").alias("seq"))
 
 
+SALTS = 16
+
+
+def _pieces(spark: SparkSession, path: str, cls: RecordClass) -> DataFrame:
+    """Text files cut behind every end of a record element, wherever the scan splits them: a file of any size is many tasks.
+
+    ``outside`` is the text before the record that ends a piece, ``record`` what follows ``<name``, null where no record begins.
+    """
+    rows = spark.read.option("lineSep", f"</{cls.name}>").text(path).select(
+        "value", F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select(*rows.columns[1:], F.posexplode(F.split("value", rf"</{cls.name}\s+>")).alias("part", "value"))  # </name > ends one too
+    cut = F.split("value", rf"<{cls.name}(?=[\s/>])", 2)
+    return rows.select("time", "file", "start", "row", "part", F.get(cut, 0).alias("outside"), F.get(cut, 1).alias("record"))
+
+
+def _headers(pieces: DataFrame, cls: RecordClass) -> DataFrame:
+    """One row a file, from the text outside its records: header time, namespace declarations, and whether it is whole."""
+    around = pieces.where("outside RLIKE '[^\\\\s]'")
+    outside = F.col("outside")
+    has = lambda pattern: F.max(outside.rlike(pattern))
+    header = F.nullif(F.regexp_extract("outside", r"<(?:\w+:)?UpdateTime(?:\s[^>]*)?>\s*([^<]*?)\s*<", 1), F.lit(""))
+    spaces = F.array_join(F.regexp_extract_all("outside", F.lit(r"""\sxmlns:\w+\s*=\s*(?:"[^"]*"|'[^']*')"""), F.lit(0)), "")
+    return around.groupBy("file").agg(
+        F.max(header).alias("header"), F.max(spaces).alias("spaces"),
+        has(rf"<(?:\w+:)?{cls.root}[\s/>]").alias("opened"), has(rf"</(?:\w+:)?{cls.root}\s*>").alias("closed"),
+        has(rf"<(?:\w+:)?{cls.container}[\s/>]").alias("contained"), has(rf"<\w+:{cls.name}[\s/>]").alias("prefixed"))
+
+
+def _fault() -> Column:
+    return (F.when(~F.col("opened"), "other document").when(~F.col("closed"), "cut off").when(~F.col("contained"), "no container")
+            .when(F.col("prefixed"), "prefixed records"))
+
+
+def _declared(record: Column) -> Column:
+    """A record in an element that makes the declarations of its file's root."""
+    return F.concat(F.lit("<r"), F.col("spaces"), F.lit(">"), record, F.lit("</r>"))
+
+
+def _file_records(spark: SparkSession, path: str, cls: RecordClass) -> DataFrame:
+    """Every record element of whole files, parsed on its own: ``header``, the place it had, ``text`` and ``x`` (null: unreadable)."""
+    pieces = _pieces(spark, path, cls)
+    whole = _headers(pieces, cls).withColumn("fault", _fault()).where("fault IS NULL")
+    # A large file has many records and one header: each is dealt out over several tasks, or the headers go to all if they are few.
+    whole = whole.select("file", "header", "spaces", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    records = pieces.where("record IS NOT NULL").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int"))
+    text = F.concat(F.lit(f"<{cls.name}"), F.col("record"), F.lit(f"</{cls.name}>"))
+    found = records.join(whole, ["file", "salt"]).withColumn("text", text)
+    options = {"rowTag": "r", "ignoreNamespace": "true", "attributePrefix": "@", "valueTag": "#text"}
+    parsed = F.from_xml(_marked(_declared(F.col("text"))), f"{cls.name} variant", options)
+    return found.withColumn("x", parsed[cls.name])
+
+
 def read_batches(spark: SparkSession, path: str, cls: RecordClass) -> DataFrame:
-    """One XML document per file, in order of file time and name."""
-    files = spark.read.text(path, wholetext=True).withColumn(
-        "_file", F.struct("_metadata.file_modification_time", "_metadata.file_path"))
-    return parse_batches(files, "value", cls, order="_file")
+    """Records of XML documents, one document per file, in order of file time, name and place; files of any size are split.
+
+    Of a file that is not whole nothing is read: see :func:`unreadable`.
+    """
+    found = _file_records(spark, path, cls).where("x IS NOT NULL")
+    return found.select("header", _record(F.col("x"), cls)["fields"].alias("fields"), F.struct("time", "file", "start", "row", "part").alias("seq"))
+
+
+def unreadable(spark: SparkSession, path: str, cls: RecordClass) -> DataFrame:
+    """``file, offset, reason, content``: one row for each file that is cut off or something else, and each record that cannot be parsed."""
+    pieces = _pieces(spark, path, cls)
+    faults = _headers(pieces, cls).withColumn("reason", _fault()).where("reason IS NOT NULL")
+    files = faults.select("file", F.lit(0).cast("long").alias("offset"), "reason", F.lit(None).cast("string").alias("content"))
+    records = _file_records(spark, path, cls).where("x IS NULL")
+    return files.unionByName(records.select("file", F.col("start").alias("offset"), F.lit("unreadable record").alias("reason"), F.col("text").alias("content")))
 
 
 DETECTOR_XML = f"VDID string, SubAuthorityCode string, Status string, DataCollectTime string, {_LINK_FLOWS}"
@@ -199,17 +275,18 @@ def parse_detectors(texts: DataFrame, column: str) -> DataFrame:
 def read_detectors(spark: SparkSession, path: str, *, unit: str = "file") -> DataFrame:
     """Detector documents from files.
 
-    ``unit`` is what one row of the scan holds: "file", a whole file with one document; "line", one
-    document per line; "record", one record element per line of a document. The last two split large
-    files over many tasks; "record" leaves the header null.
+    ``unit`` is what one row of the scan holds: "file", a whole file with one document; "line", one document per line; "record",
+    one record element, wherever it begins and ends. The last two split large files over many tasks.
     """
     cls = CLASSES["VDLive"]
-    reader = spark.read.format("xml").option("ignoreNamespace", True).option("multiLine", unit == "file")
     if unit == "record":
-        rows = reader.option("rowTag", cls.name).schema(DETECTOR_XML).load(path)
-        # The lines around the records read as rows without any field.
-        rows = rows.where("coalesce(VDID, DataCollectTime, Status, to_json(LinkFlows)) IS NOT NULL")
-        return _detector_rows(rows.select(F.lit(None).cast("string").alias("header"), F.array(F.struct("*")).alias("rows")))
+        pieces = _pieces(spark, path, cls)
+        headers = _headers(pieces, cls).select("file", "header", "spaces", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        records = pieces.where("record IS NOT NULL").withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(headers, ["file", "salt"])
+        text = _declared(F.concat(F.lit(f"<{cls.name}"), F.col("record"), F.lit(f"</{cls.name}>")))
+        one = F.from_xml(text, f"{cls.name} struct<{DETECTOR_XML}>", {"rowTag": "r", "ignoreNamespace": "true"})
+        return _detector_rows(records.select("header", F.array(one[cls.name]).alias("rows")))
+    reader = spark.read.format("xml").option("ignoreNamespace", True).option("multiLine", unit == "file")
     schema = f"UpdateTime string, {cls.container} struct<{cls.name}: array<struct<{DETECTOR_XML}>>>"
     docs = reader.option("rowTag", cls.root).schema(schema).load(path)
     return _detector_rows(docs.select(F.col("UpdateTime").alias("header"), F.col(f"{cls.container}.{cls.name}").alias("rows")))

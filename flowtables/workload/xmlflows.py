@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flowtables.catalog import CLASSES, RecordClass
 from flowtables.functions.timecols import iso_text
 from flowtables.operators import merge, upsert
-from flowtables.sources import xmlrecords
+from flowtables.sources import jsonrecords, xmlrecords
 from flowtables.sources.scratch import scratch_path
 from flowtables.workload.detectors import detector_sql, records
 from flowtables.workload.registry import ntz, query, table
@@ -258,3 +258,74 @@ def xml_to_json_job(spark, sf_dir):
         F.col("VDLives")[0]["VDID"].alias("oid"), ntz(F.date_trunc("hour", F.col("VDLives")[0]["DataCollectTime"]), "hour"),
         F.size("VDLives").cast("bigint").alias("n_records"), F.size(each).cast("bigint").alias("n_vehicles"),
         F.aggregate(each, F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias("volume"))
+
+
+def _lines(texts: DataFrame) -> Column:
+    """Documents as people write them: a record begins on a line of its own and goes over several."""
+    return F.regexp_replace(F.regexp_replace("text", "<(CCTV|LiveTraffic)>", "\n    <$1>\n        "), "</(CCTV|LiveTraffic)>", "\n    </$1>")
+
+
+def _files(texts: DataFrame, spark, label: str) -> str:
+    """One document per file."""
+    path = scratch_path(spark, label)
+    texts.select("batch_no", _lines(texts).alias("text")).write.partitionBy("batch_no").text(path)
+    return path
+
+
+@query("xml_split_static", """
+SELECT 'CCTV-' || c_custkey AS id, '  ' || c_name || ' > ' || c_mktsegment AS name, c_nationkey AS nation,
+       lpad(c_custkey::VARCHAR, 9, '0') AS number, TIMESTAMP '2021-01-01' AS time FROM customer""")
+def xml_split_static(spark, sf_dir):
+    """Indented files of a static class, split at records: header time, texts with spaces and '>', numbers as written, attributes."""
+    cls = CLASSES["CCTV"]
+    rows = table(spark, sf_dir, "customer")
+    number = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    record = F.concat(
+        tag(cls.id_field, "CCTV-", F.col("c_custkey")), F.lit(f"<SubAuthorityCode {NIL}/>"), tag("Number", number),
+        tag("Name", "  ", F.col("c_name"), " > ", F.col("c_mktsegment")), F.lit('<Place nation="'), F.col("c_nationkey").cast("string"),
+        F.lit('">here</Place>'))
+    texts = documents(rows, cls, record, batch=F.col("c_nationkey"), order=F.col("c_custkey"))
+    keyed = upsert.key_batch(xmlrecords.read_batches(spark, _files(texts, spark, "xml-static"), cls), cls)
+    fields = F.col("fields")
+    return keyed.select(
+        "id", fields["Name"].alias("name"), F.get_json_object(fields["Place"], "$.@nation").cast("bigint").alias("nation"),
+        fields["Number"].alias("number"), ntz("time", "time"))
+
+
+@query("xml_split_live", """
+SELECT 'X-' || o_orderkey AS id, o_orderpriority AS name, o_orderdate::TIMESTAMP AS time FROM orders""")
+def xml_split_live(spark, sf_dir):
+    """Indented files of a live class, split at records, each with its own time."""
+    cls = CLASSES["LiveTraffic"]
+    record = F.concat(tag(cls.id_field, "X-", F.col("o_orderkey")), tag("Name", F.col("o_orderpriority")),
+                      tag("DataCollectTime", iso_text(F.col("o_orderdate").cast("timestamp"))))
+    texts = documents(table(spark, sf_dir, "orders"), cls, record, batch=F.year("o_orderdate"), order=F.col("o_orderkey"))
+    keyed = upsert.key_batch(xmlrecords.read_batches(spark, _files(texts, spark, "xml-live"), cls), cls)
+    return keyed.select("id", F.col("fields")["Name"].alias("name"), ntz("time", "time"))
+
+
+@query("reject_documents", """
+SELECT kind, c_nationkey AS nation, reason FROM (SELECT DISTINCT c_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
+JOIN (VALUES (0, 'cut off', 'no JSON'), (1, 'other document', 'no container'), (2, 'unreadable record', NULL)) AS f(r, xml, json) ON r = n_regionkey,
+LATERAL (VALUES ('xml', xml), ('json', json)) AS v(kind, reason) WHERE reason IS NOT NULL""")
+def reject_documents(spark, sf_dir):
+    """Documents cut off, of another class, or with a broken record: each gives a row with its reason, and the others are read."""
+    cls = CLASSES["CCTV"]
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    region = F.max("n_regionkey").alias("region")
+    rows = rows.withColumn("last", F.expr("c_custkey = max(c_custkey) OVER (PARTITION BY c_nationkey)"))
+    broken = F.when(F.col("last") & (F.col("n_regionkey") == 2), F.lit("<Name>")).otherwise("")
+    texts = documents(rows, cls, F.concat(tag(cls.id_field, F.col("c_custkey")), broken), batch=F.col("c_nationkey"), order=F.col("c_custkey"))
+    regions = rows.groupBy(F.col("c_nationkey").alias("batch_no")).agg(region)
+    half = F.substring("text", F.lit(1), (F.length("text") / 2).cast("int"))
+    xml = texts.join(regions, "batch_no").withColumn("text", F.when(F.col("region") == 0, half).when(
+        F.col("region") == 1, F.regexp_replace("text", "CCTVList", "CMSList")).otherwise(F.col("text")))
+    items = F.collect_list(F.struct(F.col("c_custkey").cast("string").alias("CCTVID"))).alias("CCTVs")
+    json = rows.groupBy(F.col("c_nationkey").alias("batch_no")).agg(F.to_json(F.struct(F.lit(UPDATE_TIME).alias("UpdateTime"), items)).alias("text"), region)
+    json = json.withColumn("text", F.when(F.col("region") == 0, half).when(
+        F.col("region") == 1, F.replace("text", F.lit("CCTVs"), F.lit("CMSs"))).otherwise(F.col("text")))
+    path = scratch_path(spark, "json-rejects")
+    json.select("batch_no", "text").write.partitionBy("batch_no").text(path)
+    found = xmlrecords.unreadable(spark, _files(xml, spark, "xml-rejects"), cls).withColumn("kind", F.lit("xml")).unionByName(
+        jsonrecords.unreadable(spark, path, cls).withColumn("kind", F.lit("json")))
+    return found.select("kind", F.regexp_extract("file", "batch_no=(\\d+)", 1).cast("bigint").alias("nation"), "reason")
