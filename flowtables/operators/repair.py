@@ -64,8 +64,11 @@ def repaired_cells(minutes: DataFrame, *, method: str = "linear", missing: bool
     point = F.struct("minute", *READINGS)
     rows = neighbours(valid.withColumn("here", point), ("VDID", "LinkID"), "minute", point,
                       before=1 if cubic else 0, after=2 if cubic else 1)
-    gaps = rows.where(F.col("next1.minute") > F.col("minute") + 1).drop(*READINGS).withColumn(
-        "minute", F.explode(F.sequence(F.col("minute") + 1, F.col("next1.minute") - 1)))
+    gaps = rows.where(F.col("next1.minute") > F.col("minute") + 1).drop(*READINGS)
+    first, last = F.col("minute") + 1, F.col("next1.minute") - 1
+    long = last - first >= PIECE  # cut into pieces: the minutes of one gap of years are no single row's array
+    short = gaps.where(~long).withColumn("minute", F.explode(F.sequence(first, last)))
+    gaps = short.unionByName(minute_grid(gaps.where(long).withColumnRenamed("minute", "_since"), F.col("_since") + 1, last).drop("_since"))
     formula = _cubic if cubic else _linear
     cells = gaps.select("VDID", "minute", "LinkID", *[formula(name).alias(name) for name in READINGS])
     status = minutes.select("VDID", "minute", F.col("DataStatus").alias("_was"))

@@ -4,13 +4,17 @@ Each record becomes fixed-width contribution rows: one for the record, one per l
 hash aggregates keyed by detector, slot and link, with partial aggregation before the shuffle. When the
 window is longer than the hop, contributions are first summed into buckets of gcd(window, hop) minutes,
 so the hop copies buckets, not records.
+
+Where a bucket is in many windows it is not copied at all. Time is cut into blocks as long as the window; a window is the end
+of one block and the begin of the next, so running sums from each block's begin and from its end, one row of each, make up any
+window. Nothing is subtracted: sums of nothing are exactly 0, and minima work like sums.
 """
 
 from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtables.functions import flow
@@ -20,6 +24,9 @@ from flowtables.operators.grid import minute_grid, templates
 # and minutes up to the year 9999 times that fit a BIGINT.
 POSITION_BITS = 31
 POSITIONS = 1 << POSITION_BITS
+# Windows that a bucket may be copied into; beyond, running sums cost less.
+MOST_COPIES = 8
+TOTALS = ("first", "volume", "moved", "occupancy", "valid", "abnormal", "repaired")
 
 
 def contributions(minutes: DataFrame, *, count_abnormal: bool) -> DataFrame:
@@ -48,11 +55,14 @@ def contributions(minutes: DataFrame, *, count_abnormal: bool) -> DataFrame:
     ).select("VDID", "lo", "hi", "c.*")
 
 
+def _totals() -> list[Column]:
+    """What is known of any set of contribution rows, from the same of its parts."""
+    return [F.min("first").alias("first"), *[F.sum(name).alias(name) for name in ("volume", "moved", "occupancy", "valid", "abnormal")],
+            F.max("repaired").alias("repaired")]
+
+
 def _sums(rows: DataFrame, *at: str) -> DataFrame:
-    return rows.groupBy("VDID", *at, "is_link", "LinkID").agg(
-        F.min("first").alias("first"),
-        F.sum("volume").alias("volume"), F.sum("moved").alias("moved"), F.sum("occupancy").alias("occupancy"),
-        F.sum("valid").alias("valid"), F.sum("abnormal").alias("abnormal"), F.max("repaired").alias("repaired"))
+    return rows.groupBy("VDID", *at, "is_link", "LinkID").agg(*_totals())
 
 
 def first_slot(start: int, interval: int, rolling: int) -> int:
@@ -74,12 +84,45 @@ def _to_buckets(rows: DataFrame, *, start: int, width: int) -> DataFrame:
     return _sums(rows.withColumn("lo", lo), "lo").withColumn("hi", F.col("lo") + (width - 1))
 
 
-def window_sums(rows: DataFrame, *, start: int, end: int, interval: int, rolling: int) -> DataFrame:
+def _running(rows: DataFrame, *, start: int, end: int, interval: int, rolling: int, width: int) -> DataFrame:
+    """Rows whose sums by slot are those of the windows, at most two for each detector, link and slot, however long the window.
+
+    A row of running sums stands for all slots up to where the next row changes them.
+    """
+    block = F.floor((F.col("lo") - (start + 1)) / rolling)
+    rows = rows.select("VDID", "is_link", "LinkID", "lo", *TOTALS, (block * rolling + (start + 1)).alias("begin"))
+    parts = Window.partitionBy("VDID", "is_link", "LinkID", "begin")
+    up, down = parts.orderBy(F.col("lo").asc()), parts.orderBy(F.col("lo").desc())
+    far = (Window.unboundedPreceding, Window.currentRow)
+    totals = {name: (F.min if name == "first" else F.max if name == "repaired" else F.sum)(name) for name in TOTALS}
+    until_here = F.struct(
+        (F.col("lo") + (width - 1)).alias("from"),
+        F.least(F.lead("lo").over(up) + (width - 2), F.col("begin") + (rolling - 1)).alias("to"),
+        *[total.over(up.rowsBetween(*far)).alias(name) for name, total in totals.items()])
+    from_here = F.struct(
+        (F.coalesce(F.lead("lo").over(down), F.col("begin")) + rolling).alias("from"), (F.col("lo") + (rolling - 1)).alias("to"),
+        *[total.over(down.rowsBetween(*far)).alias(name) for name, total in totals.items()])
+    spans = rows.select("VDID", "is_link", "LinkID", until_here.alias("a"), from_here.alias("b"))
+    spans = spans.select("VDID", "is_link", "LinkID", F.inline(F.array("a", "b")))
+    step = F.lit(interval).cast("bigint")
+    low = F.greatest(F.col("from") + F.pmod(F.lit(start - rolling) - F.col("from"), step), F.lit(first_slot(start, interval, rolling))).cast("bigint")
+    high = F.least(F.col("to"), F.lit(end)).cast("bigint")
+    return spans.withColumn("slot", F.explode(F.when(low <= high, F.sequence(low, high, step)))).drop("from", "to")
+
+
+def slot_rows(rows: DataFrame, *, start: int, end: int, interval: int, rolling: int) -> DataFrame:
+    """Contribution rows, or sums of them, by the slots they count for."""
     width = gcd(interval, rolling)
     if rolling > interval and width > 1:
         rows = _to_buckets(rows, start=start, width=width)
+    if rolling > interval and rolling // width > MOST_COPIES:
+        return _running(rows, start=start, end=end, interval=interval, rolling=rolling, width=width)
     slots = slots_of(F.col("lo"), F.col("hi"), start=start, end=end, interval=interval, rolling=rolling)
-    return _sums(rows.withColumn("slot", F.explode(slots)), "slot")
+    return rows.withColumn("slot", F.explode(slots))
+
+
+def window_sums(rows: DataFrame, *, start: int, end: int, interval: int, rolling: int) -> DataFrame:
+    return _sums(slot_rows(rows, start=start, end=end, interval=interval, rolling=rolling), "slot")
 
 
 def _link_readings(links: Column, valid: Column, first: Column, rolling: int) -> Column:
