@@ -232,6 +232,12 @@ def rolling_hop(spark, sf_dir):
     return range_query(spark, sf_dir, time_interval=5, time_rolling=15, **PCE)
 
 
+@query("rolling_long", windows_sql(31, 3, **SQL_PCE) + f"SELECT {LINK_COLUMNS} FROM rolled")
+def rolling_long(spark, sf_dir):
+    """Windows of 31 minutes every three: no bucket fits, so running sums make them up."""
+    return range_query(spark, sf_dir, time_interval=3, time_rolling=31, **PCE)
+
+
 def _rolling_part(column: str, select: str):
     @query(f"rolling_{column}", windows_sql(7, 3, **SQL_PCE) + f"SELECT DISTINCT oid, time, {select} FROM rolled")
     def part(spark, sf_dir):
