@@ -3,29 +3,45 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FILTER_BITS = 26  # 8 MB, whatever the table's size
+from flowtables.llm.stage import discard, stored, without_leftovers
+
+LEAST_BITS, MOST_BITS = 20, 29  # of a filter: 64 MB at most, whatever the table's size
+CHUNK_BITS = 18
 HOT_KEYS = 1000
 
 
-def bit_filter(hashes: DataFrame) -> np.ndarray:
-    """One bit for the first ``FILTER_BITS`` bits of every hash in ``hash``. The fuller it is, the more hashes pass that were not
-    given; a given one always passes."""
-    low = 64 - FILTER_BITS
-    words = hashes.select(
-        F.shiftrightunsigned("hash", low + 6).alias("w"),
-        F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {low}) & 63 as int))").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), "int64")
-    bits[rows["w"].to_numpy("int64")] = rows["b"].to_numpy("int64")
-    return bits.view("uint64")
+def bit_filter(hashes: DataFrame, like: np.ndarray | None = None) -> np.ndarray:
+    """A filter with one bit for the first bits of every hash in ``hash``, made in chunks by the executors.
+
+    A given hash always passes. It has sixteen bits a hash while that is at most 2 ** ``MOST_BITS``, so one in sixteen of other hashes
+    passes too; beyond that more do. With ``like``, it has as many bits as that filter.
+    """
+    given = stored(hashes.select("hash"), "hashes")
+    size = max(LEAST_BITS, min(MOST_BITS, (16 * given.count()).bit_length())) if like is None else (64 * len(like)).bit_length() - 1
+
+    def chunk(table: pa.Table) -> pa.Table:
+        there = np.zeros(1 << CHUNK_BITS, bool)
+        hashes = table.column("hash").to_numpy().view("uint64")
+        there[(hashes >> np.uint64(64 - size)) & np.uint64((1 << CHUNK_BITS) - 1)] = True
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": [np.packbits(there, bitorder="little").tobytes()]})
+
+    chunks = given.withColumn("chunk", F.shiftrightunsigned("hash", 64 - size + CHUNK_BITS)).groupBy("chunk").applyInArrow(
+        chunk, "chunk long, bits binary")
+    bits = np.zeros(1 << (size - 3), "uint8")
+    with without_leftovers(hashes.sparkSession):
+        for row in chunks.collect():
+            bits[row.chunk << (CHUNK_BITS - 3):(row.chunk + 1) << (CHUNK_BITS - 3)] = np.frombuffer(row.bits, "uint8")
+    discard(given)
+    return bits.view("<u8")
 
 
 def passing(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes (unsigned) may have been given."""
-    top = hashes >> np.uint64(64 - FILTER_BITS)
+    top = hashes >> np.uint64(65 - (64 * len(bits)).bit_length())
     return (bits[top >> np.uint64(6)] >> (top & np.uint64(63))) & np.uint64(1) == 1
 
 

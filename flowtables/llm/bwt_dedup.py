@@ -35,10 +35,11 @@ RUN = 64  # windows of a segment at most
 PIECE = 512  # windows of a piece at most
 PIECE_BITS = 2  # a piece holds 2 ** PIECE_BITS runs of one key on average
 PART_BYTES = 3 << 20
-SHARDS = 4  # of a part
+SHARD_BYTES = 8 << 20  # of segments that a task holds to make shards of them, one a part
 KEY_SEGMENTS = 4096  # a key with more segments is no part's: its windows are grouped one by one
 SEEN = 200_000  # pieces a task remembers
 SEED = 12
+ZSTD = "zstd"
 
 
 class WindowKeys:
@@ -64,7 +65,9 @@ class WindowKeys:
         grams, width = WINDOW - GRAM + 1, 1
         while 2 * width <= grams:
             least, width = np.minimum(least[:-width], least[width:]), 2 * width
-        return np.minimum(least[:len(least) - (grams - width)], least[grams - width:]) if width < grams else least
+        if width < grams:
+            least = np.minimum(least[:len(least) - (grams - width)], least[grams - width:])
+        return mixed(least ^ np.uint64(SEED))  # least values are small: their first bits would be much alike
 
 
 def _chunks(texts: list[bytes | None]):
@@ -195,32 +198,33 @@ def crowded_keys(distinct: DataFrame) -> DataFrame:
     return counted.filter(F.col("n") > KEY_SEGMENTS).select("hash")
 
 
-def segments(distinct: DataFrame, crowded, parts: int) -> DataFrame:
-    """``part, p1, p2, at, low, n, bytes``: each piece cut by key, so that equal windows are in one part.
-
-    ``part`` is null for windows of a crowded key, given one by one.
-    """
+def _segments(batches, crowded, parts: int):
+    """Of batches of ``p1, p2, low, n, bytes`` the segments: part, row of the batch, place in the piece, bytes; each piece cut by
+    key, so that equal windows are in one part. Windows of a crowded key are given one by one, as part -1."""
+    key = WindowKeys()
+    for batch in batches:
+        for some in _chunks(batch.column(4).to_pylist()):
+            found = Keyed(some, key)
+            single = passing(crowded, found.keys)
+            begins, lengths = found.runs(found.inside, found.new_key() | single, RUN)
+            ends = begins + lengths + WINDOW - 1
+            content = pa.array([found.data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())
+            part = np.where(single[begins], -1, (found.keys[begins] % np.uint64(parts)).astype("int64"))
+            rows = pa.array(found.rows[begins])
+            yield pa.table([
+                pa.array(part), *(batch.column(k).take(rows) for k in (0, 1)), pa.array(found.places[begins].astype("int32")),
+                *(batch.column(k).take(rows) for k in (2, 3)), content], names=["part", "p1", "p2", "at", "low", "n", "bytes"])
+
+
+def single_windows(distinct: DataFrame, crowded, parts: int) -> DataFrame:
+    """``p1, p2, at, low, n, bytes`` of the windows of crowded keys."""
     kind = distinct.schema["low"].dataType.simpleString()
 
     def run(batches):
-        key = WindowKeys()
-        for batch in batches:
-            for some in _chunks(batch.column(4).to_pylist()):
-                found = Keyed(some, key)
-                single = passing(crowded.value, found.keys)
-                cut = found.new_key() | single
-                begins, lengths = found.runs(found.inside, cut, RUN)
-                ends = begins + lengths + WINDOW - 1
-                content = [found.data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                part = (found.keys[begins] % np.uint64(parts)).astype("int64")
-                rows = pa.array(found.rows[begins])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, mask=single[begins]), *(batch.column(k).take(rows) for k in (0, 1)), pa.array(found.places[begins].astype("int32")),
-                     *(batch.column(k).take(rows) for k in (2, 3)), pa.array(content, pa.binary())],
-                    ["part", "p1", "p2", "at", "low", "n", "bytes"])
+        for table in _segments(batches, crowded.value, parts):
+            yield from table.filter(pc.equal(table.column("part"), -1)).drop_columns("part").to_batches()
 
-    return distinct.select("p1", "p2", "low", "n", "bytes").mapInArrow(
-        run, f"part long, p1 long, p2 long, at int, low {kind}, n long, bytes binary")
+    return distinct.select("p1", "p2", "low", "n", "bytes").mapInArrow(run, f"p1 long, p2 long, at int, low {kind}, n long, bytes binary")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -272,40 +276,53 @@ def transform(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (before - (before > 0)).astype("uint8"), np.nonzero(before == 0)[0].astype("int32")
 
 
-def shard_transforms(segs: DataFrame) -> DataFrame:
-    """One row a shard: its transform, and what belongs to its strings in their order."""
-    kind = segs.schema["low"].dataType.simpleString()
+def shard_transforms(distinct: DataFrame, crowded, parts: int) -> DataFrame:
+    """One row a shard, which is what a task holds of a part at once: its transform, and what belongs to its strings in their order."""
+    kind = distinct.schema["low"].dataType.simpleString()
+    lists = ("p1", "p2", "at", "low", "n")
+
+    def shards(held):
+        table = pa.concat_tables(held)
+        table = table.filter(pc.greater_equal(table.column("part"), 0))
+        table = table.take(pc.sort_indices(table, sort_keys=[("part", "ascending"), ("bytes", "ascending")])).combine_chunks()
+        if not table.num_rows:
+            return
+        part = table.column("part").to_numpy()
+        bounds = np.append(np.nonzero(np.append(True, part[1:] != part[:-1]))[0], len(part))
+        rows = [transform(table.column("bytes").chunk(0).slice(a, b - a)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        offsets = pa.array(bounds.astype("int32"))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(part[bounds[:-1]]), pa.array([x.tobytes() for x, _ in rows], pa.binary()), pa.array([x.tobytes() for _, x in rows], pa.binary()),
+             *(pa.ListArray.from_arrays(offsets, table.column(name).chunk(0)) for name in lists)], ["part", "before", "begins", *lists])
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("bytes", "ascending")])).combine_chunks()
-        strings = table.column("bytes").combine_chunks()
-        strings = strings.chunk(0) if isinstance(strings, pa.ChunkedArray) else strings
-        before, begins = transform(strings.cast(pa.binary()))
-        columns = [table.column(name).to_pylist() for name in ("p1", "p2", "at", "low", "n")]
-        return pa.table({
-            "part": table.column("part").slice(0, 1), "before": pa.array([before.tobytes()], pa.binary()),
-            "begins": pa.array([begins.tobytes()], pa.binary()),
-            **{name: pa.array([x], pa.list_(table.schema.field(name).type)) for name, x in zip(("p1", "p2", "at", "low", "n"), columns, strict=True)}})
+    def run(batches):
+        held, size = [], 0
+        for table in _segments(batches, crowded.value, parts):
+            held.append(table)
+            size += table.column("bytes").nbytes
+            if size > SHARD_BYTES:
+                yield from shards(held)
+                held, size = [], 0
+        if held:
+            yield from shards(held)
 
-    shard = F.pmod(F.xxhash64("p1", "p2", "at"), F.lit(SHARDS))
-    return segs.withColumn("shard", shard).groupBy("part", "shard").applyInArrow(
+    return distinct.select("p1", "p2", "low", "n", "bytes").mapInArrow(
         run, f"part long, before binary, begins binary, p1 array<long>, p2 array<long>, at array<int>, low array<{kind}>, n array<long>")
 
 
-def repeated_blocks(before: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def repeated_blocks(before: np.ndarray, back: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Refines the interleave of all shards' suffixes to ``WINDOW`` bytes; rows of the repeated intervals, and each one's block.
 
-    ``before`` is the byte (plus 1; 0 for a string's begin) before each row's suffix, ``back`` the row of the suffix that begins there.
+    ``before`` is the byte before each row's suffix, ``back`` the row of the suffix that begins there; ``rows`` are the suffixes
+    that have ``WINDOW`` bytes of their string before them. After ``h`` steps a window stands for its last ``h`` bytes and on.
     """
-    rows, block = np.arange(len(before), dtype="int32"), np.zeros(len(before), "int32")
+    block = np.zeros(len(rows), "int32")
     for _ in range(WINDOW):
-        byte = before[rows]
-        real = byte != 0
-        rows, block, byte = back[rows[real]], block[real], byte[real]
         if not len(rows):
             break
+        byte = before[rows]
         order = np.argsort(byte, kind="stable")
-        rows, block, byte = rows[order], block[order], byte[order]
+        rows, block, byte = back[rows][order], block[order], byte[order]
         first = np.ones(len(rows) + 1, bool)
         first[1:-1] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
         several = ~(first[:-1] & first[1:])
@@ -314,9 +331,9 @@ def repeated_blocks(before: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, n
     return rows, block
 
 
-def merged(segs: DataFrame) -> DataFrame:
-    """``p1, p2, n, at, length, low`` for all windows of the segments, by merging the transforms of each part's shards."""
-    kind = segs.schema["low"].dataType.simpleString()
+def merged(shards: DataFrame) -> DataFrame:
+    """``p1, p2, n, at, length, low`` for all windows of the shards' strings, by merging the transforms of each part's shards."""
+    kind = shards.schema["low"].dataType.elementType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         shards = table.select(["before", "begins"]).to_pylist()
@@ -345,19 +362,22 @@ def merged(segs: DataFrame) -> DataFrame:
             going = before[at_row] != 0
             at_row, which, step = back[at_row[going]], which[going], step + 1
         low = own[string]
-        rows, block = repeated_blocks(before, back)
+        whole = np.zeros(len(starts), "int32")
+        whole[string[before == 0]] = behind[before == 0]
+        rows, block = repeated_blocks(before, back, np.nonzero(behind <= (whole - WINDOW)[string])[0].astype("int32"))
         if len(rows):
             begins = np.nonzero(np.diff(block, prepend=-1))[0]
             least = np.minimum.reduceat(low[rows], begins)
             low[rows] = np.repeat(least, np.diff(np.append(begins, len(rows))))
-        windows = np.nonzero(behind >= WINDOW)[0]
-        windows = windows[np.lexsort((-behind[windows], string[windows]))]
+        own_windows = whole - WINDOW + 1
+        ends = np.cumsum(own_windows)
+        windows = np.empty(ends[-1], "int32")
+        at_row = np.nonzero(behind >= WINDOW)[0]
+        windows[(ends - own_windows + whole)[string[at_row]] - behind[at_row]] = at_row
         string, behind, low = string[windows], behind[windows], low[windows]
         first = np.ones(len(windows), bool)
         first[1:] = (string[1:] != string[:-1]) | (low[1:] != low[:-1])
         heads = np.nonzero(first)[0]
-        whole = np.zeros(len(starts), "int64")
-        np.maximum.at(whole, string, behind)
         owner = pa.array(string[heads])
         flat = {name: pa.concat_arrays([x.flatten() for x in table.column(name).chunks]).take(owner) for name in ("p1", "p2", "n", "at")}
         at = flat["at"].to_numpy() + whole[string[heads]] - behind[heads]
@@ -366,7 +386,17 @@ def merged(segs: DataFrame) -> DataFrame:
             "length": pa.array(np.diff(np.append(heads, len(windows))).astype("int32")),
             "low": pa.array([ordered[k] for k in low[heads].tolist()], table.schema.field("low").type.value_type)})
 
-    return shard_transforms(segs).groupBy("part").applyInArrow(run, f"p1 long, p2 long, n long, at int, length int, low {kind}")
+    return shards.groupBy("part").applyInArrow(run, f"p1 long, p2 long, n long, at int, length int, low {kind}")
+
+
+def marked(texts: DataFrame, marks) -> DataFrame:
+    """The texts whose mark may be among the given ones: others need not move."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passing(marks.value, batch.column("mark").to_numpy().view("uint64"))))
+
+    return texts.mapInArrow(run, texts.schema)
 
 
 def cut(chosen: DataFrame, with_text: bool) -> DataFrame:
@@ -407,18 +437,18 @@ def repeated_bytes(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
     texts = docs.select(F.col(id_col).alias("doc_id"), data.alias("bytes")).withColumn("mark", F.xxhash64("bytes"))
     known = texts.filter("doc_id is not null")
     shared = spark.sparkContext.broadcast(bit_filter(shared_keys(known)))
-    held = stored(pieces(known, shared), "pieces")
+    held = stored(pieces(known, shared), "pieces", ZSTD)
     distinct = stored(held.groupBy("p1", "p2").agg(
-        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")), "distinct")
+        F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")), "distinct", ZSTD)
     size = distinct.agg(F.sum(F.length("bytes"))).first()[0] or 0
     crowded = spark.sparkContext.broadcast(bit_filter(crowded_keys(distinct)))
-    segs = stored(segments(distinct, crowded, int(2 * size // PART_BYTES + 1)), "segments")
-    single = segs.filter("part is null")
+    parts = int(2 * size // PART_BYTES + 1)
+    single = single_windows(distinct, crowded, parts)
     least = stored(single.groupBy("bytes").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("rows")), "least")
     alone = joined(single, least, ["bytes"], "rows").select("p1", "p2", "n", "at", F.lit(1).alias("length"), F.col("least").alias("low"))
-    found = stored(merged(segs.filter("part is not null")).unionByName(alone).groupBy("p1", "p2").agg(
-        F.max("n").alias("n"), F.collect_list(F.struct("at", "length", "low")).alias("found")), "found")
-    discard(distinct, segs, least)
+    found = stored(merged(shard_transforms(distinct, crowded, parts)).unionByName(alone).groupBy("p1", "p2").agg(
+        F.max("n").alias("n"), F.collect_list(F.struct("at", "length", "low")).alias("found")), "found", ZSTD)
+    discard(distinct, least)
     later = F.transform(
         F.filter("found", lambda x: x["low"] < F.col("doc_id")),
         lambda x: F.struct((F.col("start") + x["at"]).alias("start"), x["length"].alias("length")))
@@ -426,7 +456,8 @@ def repeated_bytes(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
         "doc_id", "mark", later.alias("spans")).filter("size(spans) > 0")
     spans = stored(spans.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
     discard(held, found)
-    losses = stored(cut(known.join(spans, ["doc_id", "mark"]), with_text).dropDuplicates(["doc_id", "mark"]), "losses")
+    touched = spark.sparkContext.broadcast(bit_filter(spans.select(F.col("mark").alias("hash"))))
+    losses = stored(cut(marked(known, touched).join(spans, ["doc_id", "mark"]), with_text).dropDuplicates(["doc_id", "mark"]), "losses")
     discard(spans)
     whole = texts.select("doc_id", "mark", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("whole"),
                          *([F.col("bytes")] if with_text else []))

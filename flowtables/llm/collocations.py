@@ -189,7 +189,7 @@ def frequent(texts: DataFrame, least: int) -> tuple[list[DataFrame], np.ndarray]
                 hashes = batch.column(0).to_numpy().view("uint64")
                 yield batch.filter(pa.array(~passing(now.value, hashes)))
 
-        failures = bit_filter(found.mapInArrow(failed, "hash long"))
+        failures = bit_filter(found.mapInArrow(failed, "hash long"), bits)
         if not failures.any():
             return passes, bits
         before, bits = bits, bits | failures
