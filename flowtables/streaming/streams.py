@@ -6,15 +6,22 @@ at most one entry per minute of the window.
 
 from __future__ import annotations
 
+import pickle
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from flowtables.catalog import LIVE_UPLOAD, VDLIVE_LINKS, record_class
+from flowtables.catalog import FLOW_LINKS, LIVE_UPLOAD, VDLIVE_LINKS, record_class
 from flowtables.functions import flow
 from flowtables.functions.timecols import epoch_minute, minute_instant, minute_of
 from flowtables.operators import merge, upsert
 from flowtables.operators.grid import first_by
+from flowtables.operators.rolling import first_slot
 from flowtables.sources import jsonrecords, tables
 
 DETECTOR_STREAM = f"VDID string, DataCollectTime timestamp, Status string, LinkFlows {VDLIVE_LINKS}"
@@ -98,3 +105,83 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+NORMAL, NODATA, ABNORMAL, REPAIR = flow.NORMAL, flow.NODATA, flow.ABNORMAL, flow.REPAIR
+# The state's code goes to the executors with the query, so that they need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+#: What :func:`rolling_windows` gives.
+WINDOWS = f"VDID string, Time timestamp, DataStatus int, LinkFlows {FLOW_LINKS}"
+
+
+class _Detector:
+    """One detector's minutes that windows to come may need: of each the first record's status and its links' sums."""
+
+    def __init__(self, slot: int, minutes: dict[int, tuple] | None = None):
+        self.slot = slot  # the next one to give
+        self.minutes = minutes or {}  # minute -> (time of the record, status, [(LinkID, volume, volume * speed, occupancy)])
+
+    def add(self, at: int, status: int, links, closed: int) -> None:
+        minute = at // 60_000_000
+        if minute < closed:
+            return  # its windows may have been given: as late as for any aggregate
+        sums = [(k["LinkID"], k["Volume"], k["Volume"] * k["Speed"], k["Occupancy"]) for k in links if status in (NORMAL, REPAIR)]
+        record = (at, int(status), sums)
+        if minute not in self.minutes or record[:2] < self.minutes[minute][:2]:
+            self.minutes[minute] = record
+
+    def windows(self, until: int, interval: int, rolling: int):
+        """The windows that end before minute ``until``: slot, status, links (None where no record is usable)."""
+        while self.slot < until:
+            inside = [self.minutes[m] for m in range(self.slot - rolling + 1, self.slot + 1) if m in self.minutes] if self.minutes else []
+            usable = [(status, links) for _, status, links in inside if status in (NORMAL, REPAIR)]
+            if usable:
+                yield self.slot, max(status for status, _ in usable), self._links([links for _, links in usable], rolling)
+            else:
+                yield self.slot, ABNORMAL if len(inside) == rolling else NODATA, None
+            self.slot += interval
+            for minute in [m for m in self.minutes if m <= self.slot - rolling]:
+                del self.minutes[minute]
+
+    @staticmethod
+    def _links(records: list, rolling: int) -> list[dict]:
+        totals = {link_id: [0.0, 0.0, 0.0] for link_id, *_ in records[0]}
+        for links in records:
+            for link_id, *sums in links:
+                if link_id in totals:
+                    totals[link_id] = [a + b for a, b in zip(totals[link_id], sums, strict=True)]
+        n = len(records)
+        return [{"LinkID": link_id, "Volume": volume / n * rolling, "Speed": moved / volume if volume else 0.0, "Occupancy": occupancy / n}
+                for link_id, (volume, moved, occupancy) in totals.items()]
+
+
+def rolling_windows(records: DataFrame, *, start, interval: int, rolling: int, delay: str, **pce) -> DataFrame:
+    """Every window of every detector seen, from ``start`` on, also those without a usable record: what the batch query gives with
+    ``null_time=1``, as far as the watermark has come. Columns as :func:`rolling_flows`.
+
+    State is one entry a detector and minute, for as many minutes as a window and the delay have, with one sum a link and reading
+    whatever the lanes. A timer at the end of its next window wakes a detector that sends nothing.
+    """
+    origin = first_slot(minute_of(start), interval, rolling)
+    flows = merge.sum_lanes_sum_vehicles(records, keep=(F.col("DataCollectTime").alias("At"),), **pce).withWatermark("At", delay)
+    flows = flows.select("VDID", "At", F.unix_micros("At").alias("micros"), "DataStatus", "LinkFlows")
+
+    def advance(key, batches, state):
+        detector = _Detector(*pickle.loads(state.get[0])) if state.exists else _Detector(origin)
+        closed = state.getCurrentWatermarkMs() // 60_000
+        if not state.hasTimedOut:
+            for batch in batches:
+                for at, status, links in zip(batch["micros"], batch["DataStatus"], batch["LinkFlows"], strict=True):
+                    detector.add(int(at), status, () if links is None else links, closed)
+        some = []
+        for slot, status, links in detector.windows(closed, interval, rolling):
+            some.append((key[0], pd.Timestamp(slot * 60, unit="s"), status, links))
+            if len(some) == 10_000:
+                yield pd.DataFrame(some, columns=["VDID", "Time", "DataStatus", "LinkFlows"])
+                some = []
+        if some:
+            yield pd.DataFrame(some, columns=["VDID", "Time", "DataStatus", "LinkFlows"])
+        state.update((pickle.dumps((detector.slot, detector.minutes)),))  # plain values: state outlives this code
+        state.setTimeoutTimestamp((max(detector.slot, closed) + 1) * 60_000)
+
+    return flows.groupBy("VDID").applyInPandasWithState(advance, WINDOWS, "held binary", "append", GroupStateTimeout.EventTimeTimeout)

@@ -77,3 +77,29 @@ def stream_rolling(spark, sf_dir):
     flows = streams.rolling_flows(_detector_stream(spark, sf_dir), start=ORIGIN, interval=INTERVAL, rolling=ROLLING,
                                   delay=f"{DELAY} minutes", **PCE)
     return link_rows(streams.run_to_table(flows, scratch_path(spark, "stream-rolling"), scratch_path(spark, "stream-state")))
+
+
+@query("stream_rolling_nulltime", detector_sql(**SQL_PCE) + f""",
+fst AS (
+  SELECT oid, date_trunc('minute', t) AS minute, arg_min(t, t) AS first_t, arg_min(data_status, t) AS ds
+  FROM record GROUP BY oid, date_trunc('minute', t)),
+slots AS (
+  SELECT slot FROM (SELECT unnest(generate_series(TIMESTAMP '2021-01-01', max(minute), INTERVAL 1 MINUTE)) AS slot FROM fst)
+  WHERE (date_diff('minute', TIMESTAMP '2021-01-01', slot) + {ROLLING}) % {INTERVAL} = 0
+    AND slot + INTERVAL 1 MINUTE <= (SELECT max(t) FROM record) - INTERVAL {DELAY} MINUTE),
+win AS (
+  SELECT d.oid, s.slot, count(*) FILTER (ds = 0) AS n, count(*) FILTER (ds = 2) AS bad, min(minute) FILTER (ds = 0) AS first_minute
+  FROM (SELECT DISTINCT oid FROM fst) d CROSS JOIN slots s
+  LEFT JOIN fst f ON f.oid = d.oid AND minute BETWEEN slot - INTERVAL {ROLLING - 1} MINUTE AND slot GROUP BY d.oid, s.slot),
+linkwin AS (
+  SELECT f.oid, slot, link_id, sum(volume) AS v, sum(speed * volume) AS sv, sum(occupancy) AS o, min(minute) AS link_first
+  FROM fst f JOIN slots ON minute BETWEEN slot - INTERVAL {ROLLING - 1} MINUTE AND slot
+  JOIN link l ON l.oid = f.oid AND l.t = f.first_t WHERE ds = 0 GROUP BY f.oid, slot, link_id)
+SELECT w.oid, w.slot AS time, CASE WHEN n > 0 THEN 0 WHEN bad = {ROLLING} THEN 2 ELSE 1 END AS status, link_id,
+       round(v / n * {ROLLING}, 6) AS volume, round(CASE WHEN v = 0 THEN 0 ELSE sv / v END, 6) AS speed, round(o / n, 6) AS occupancy
+FROM win w LEFT JOIN linkwin l ON l.oid = w.oid AND l.slot = w.slot AND l.link_first = w.first_minute""")
+def stream_rolling_nulltime(spark, sf_dir):
+    """Rolling windows over a stream with those that no usable record is in: state by detector, woken by timers."""
+    flows = streams.rolling_windows(_detector_stream(spark, sf_dir), start=ORIGIN, interval=INTERVAL, rolling=ROLLING,
+                                    delay=f"{DELAY} minutes", **PCE)
+    return link_rows(streams.run_to_table(flows, scratch_path(spark, "stream-windows"), scratch_path(spark, "stream-state")))

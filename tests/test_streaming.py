@@ -96,3 +96,31 @@ def test_stream_upsert_equals_batch_and_survives_replay(spark, tmp_path):
     assert upsert.key_violations(TrafficHistory(spark, root).table("NFB", "LiveTraffic"), *order).count() == 0
     with pytest.raises(ValueError):
         streams.start_upsert(spark.readStream.text(str(folder)), spark, root, "NFB", "CCTV", checkpoint="x", trigger={})
+
+
+@pytest.mark.parametrize("interval, rolling", [(5, 5), (2, 6), (1, 3), (5, 3)])
+def test_windows_by_timers_equal_batch_with_empty_ones(spark, tmp_path, interval, rolling):
+    records = list({(r[0], r[1]): r for r in model.random_records(random.Random(4), 3, 60, START)}.values())
+    records = [r for r in records if r[0] != "VD-1" or not START + 15 <= r[1] // 60 < START + 45]  # one is silent for half an hour
+    early = [r for r in records if r[1] < (START + 20) * 60]
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    frame_of(spark, early).coalesce(1).write.parquet(folder)
+    source = spark.readStream.schema(streams.DETECTOR_STREAM).parquet(folder)
+    windows = streams.rolling_windows(source, start=at(START * 60), interval=interval, rolling=rolling, delay="2 minutes")
+    streams.run_to_table(windows, out, state)
+    frame_of(spark, [r for r in records if r not in early]).coalesce(1).write.mode("append").parquet(folder)
+    mine = collected(streams.run_to_table(windows, out, state))
+    closed = (max(r[1] for r in records) - 120) // 60 - 1
+    wanted = traffic.time_range(frame_of(spark, records), at(START * 60), at(closed * 60 + 59), null_time=1,
+                                time_interval=interval, time_rolling=rolling)
+    assert model.flat(mine) == model.flat(collected(wanted))
+
+
+def test_state_does_not_grow_with_lanes():
+    def held(lanes):
+        detector = streams._Detector(0)
+        for minute in range(10):
+            detector.add(minute * 60_000_000, 0, [{"LinkID": "A", "Volume": 1.0 * lanes, "Speed": 2.0, "Occupancy": 3.0}], 0)
+        return len(streams.pickle.dumps(detector.minutes))
+
+    assert held(1) == held(500)
