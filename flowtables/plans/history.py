@@ -39,12 +39,14 @@ class TrafficHistory:
             lookup.in_range(self._of(authority, dataclass, oid, sdate, edate), cls, sdate, edate), cls, sort)
 
     def as_json(self, rows: DataFrame) -> DataFrame:
+        """Whole records, with every field they were uploaded with."""
         times = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp"]
-        return tables.json_rows(lookup.public(rows), *times)
+        return tables.json_rows(rows, *times)
 
     def as_xml(self, rows: DataFrame, row_tag: str) -> DataFrame:
+        """Whole records, with every field they were uploaded with."""
         times = [f.name for f in rows.schema if f.dataType.typeName() == "timestamp"]
-        return tables.xml_rows(lookup.public(rows), row_tag, *times)
+        return tables.xml_rows(rows, row_tag, *times)
 
     # Detector flows
 

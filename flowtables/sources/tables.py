@@ -281,11 +281,21 @@ def vacuum(spark: SparkSession, root: str, authority_name: str, dataclass: str,
 
 
 def json_rows(table: DataFrame, *times: str) -> DataFrame:
-    """Each row as JSON text with times in local ISO form; null fields are left out."""
+    """Each row as JSON text with times in local ISO form; null fields are left out.
+
+    The fields in ``extra`` stand beside the others, as the record had them; a nested field that is there whole stands for its
+    typed column. Numbers that are no declared field's come back as texts.
+    """
     shown = table
     for name in times:
         shown = shown.withColumn(name, iso_text(F.col(name)))
-    return shown.select(F.to_json(F.struct("*")).alias("json"))
+    if dict(table.dtypes).get("extra") != "map<string,string>":
+        return shown.select(F.to_json(F.struct("*")).alias("json"))
+    extra = F.coalesce("extra", F.create_map().cast("map<string,string>"))
+    own = F.to_json(F.struct(*[F.when(~F.map_contains_key(extra, name), F.col(name)).alias(name) for name in shown.columns if name != "extra"]))
+    rest = _extra_json(extra)
+    comma = F.when((own == "{}") | (rest == "{}"), "").otherwise(",")
+    return shown.select(F.concat(F.substr(own, F.lit(1), F.length(own) - 1), comma, F.substr(rest, F.lit(2))).alias("json"))
 
 
 def xml_rows(table: DataFrame, row_tag: str, *times: str) -> DataFrame:

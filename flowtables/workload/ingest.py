@@ -8,6 +8,7 @@ Batches hold at most 64 events (or 50 cameras): rows of consecutive unique ids.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -331,3 +332,36 @@ def scan_many_ids(spark, sf_dir):
     wanted = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(
         F.concat(F.lit("VD-"), F.col("c_custkey").cast("string")).alias("id"))
     return _last_numbers(tables.scan_ids(spark, root, "NFB", "VDLive", wanted), "seen")
+
+
+_WHOLE = """
+SELECT 'CCTV' AS dataclass, 'C-' || c_custkey AS id, c_name AS name, c_mktsegment AS status, c_nationkey::VARCHAR AS nested FROM customer
+UNION ALL SELECT 'News', 'N-' || p_partkey, p_name, p_brand, p_type FROM part
+UNION ALL SELECT 'SectionLink', 'S-' || s_suppkey, s_name, s_nationkey::VARCHAR, s_name FROM supplier"""
+
+
+@query("record_round_trip", _WHOLE)
+def record_round_trip(spark, sf_dir):
+    """Records of several classes uploaded as JSON and given back whole: declared, undeclared and nested fields under their own names."""
+    root = scratch_path(spark, "round-trip")
+    parts = []
+    for name, source, key, mark, fields in (
+            ("CCTV", "customer", "c_custkey", "C-", ("c_name", "c_mktsegment", "c_nationkey")),
+            ("News", "part", "p_partkey", "N-", ("p_name", "p_brand", "p_type")),
+            ("SectionLink", "supplier", "s_suppkey", "S-", ("s_name", "s_nationkey", "s_name"))):
+        cls = CLASSES[name]
+        label, status, nested = (F.col(f).cast("string") for f in fields)
+        record = F.to_json(F.struct(
+            F.concat(F.lit(mark), F.col(key).cast("string")).alias(cls.id_field), F.lit("2021-01-01T08:00:00+08:00").alias("UpdateTime"),
+            label.alias("Name"), status.alias("SubAuthorityCode"), F.struct(F.array(F.struct(nested.alias("Value"))).alias("Items")).alias("More")))
+        texts = table(spark, sf_dir, source).select(
+            F.concat(F.lit(f'{{"UpdateTime":"2021-01-01T00:00:00Z","{cls.container}":['), record, F.lit("]}")).alias("value"))
+        path = scratch_path(spark, "round-trip-json")
+        texts.write.text(path)
+        keyed = upsert.key_batch(jsonrecords.read_batches(spark, path, cls, multi_line=False), cls)
+        tables.upsert_into(spark, root, "THB", name, keyed)
+        shown = tables.json_rows(tables.scan(spark, root, "THB", name).drop("dt"), cls.time_field)
+        value = lambda at: F.get_json_object("json", f"$.{at}")
+        parts.append(shown.select(F.lit(name).alias("dataclass"), value(cls.id_field).alias("id"), value("Name").alias("name"),
+                                  value("SubAuthorityCode").alias("status"), value("More.Items[0].Value").alias("nested")))
+    return reduce(DataFrame.unionByName, parts)
