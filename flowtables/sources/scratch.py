@@ -8,8 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset, in a folder of the warehouse, which is shared too."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a folder of the warehouse, unless that is on one machine of a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines share; {base} is on one of them")
     return f"{base.rstrip('/')}/flowtables-{label}-{uuid.uuid4().hex}"
 
 
