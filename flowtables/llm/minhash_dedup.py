@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from flowtables.llm.blocks import in_blocks, pairs_within, whole_groups
 from flowtables.llm.components import components
-from flowtables.llm.stage import free_name, small_batches, stored
+from flowtables.llm.stage import free_name, new_path, scaffolding, small_batches, stored, written
 from flowtables.llm.words import WordHashes, mixed, odd_numbers, window_hashes
 
 WIDTH = 5
@@ -245,13 +245,16 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     """
     row = free_name(docs, "row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows", "zstd")
-    found = near_duplicates(rows, id_col=row).join(rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
-    place = F.struct(F.col("id").isNull(), "id", "doc_id")
-    groups = stored(found.select("component_id", "doc_id", "id"), "groups")
-    several = groups.groupBy("component_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dropped = groups.join(several, "component_id").filter(F.col("doc_id") != F.col("first.doc_id"))
     gone = free_name(rows, "gone")
-    return rows.join(dropped.select(F.col("doc_id").alias(gone)), F.col(row) == F.col(gone), "left_anti").drop(row)
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "gone")
+    with scaffolding(spark):  # of all that the search writes, only the rows to drop are wanted
+        found = near_duplicates(rows, id_col=row).join(rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id")), "doc_id")
+        place = F.struct(F.col("id").isNull(), "id", "doc_id")
+        groups = stored(found.select("component_id", "doc_id", "id"), "groups")
+        several = groups.groupBy("component_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        dropped = groups.join(several, "component_id").filter(F.col("doc_id") != F.col("first.doc_id"))
+        dropped = written(dropped.select(F.col("doc_id").alias(gone)), path)
+    return rows.join(dropped, F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 SQL = r"""
