@@ -47,19 +47,20 @@ class Phrases:
         self.byte = odd_numbers(256, SEED)
         self.bases = [int(x) & ~7 | 5 for x in odd_numbers(2, SEED + 1)]
         self.factor = odd_numbers(2, SEED + 2)
-        self.size = 0
+        self.powers = [[np.ones(1, "uint64")] * 2 for _ in self.bases]
 
-    def grow(self, n: int) -> None:
-        self.size = n
-        self.powers = [[np.concatenate([np.ones(1, "uint64"), np.cumprod(np.full(n, x, "uint64"), dtype="uint64")])
-                        for x in (base, pow(base, -1, 1 << 64))] for base in self.bases]
+    def powers_of(self, which: int) -> list[np.ndarray]:
+        """Powers of a base and of its inverse, for as many bytes as are read now."""
+        if len(self.powers[which][0]) <= len(self.data):
+            n, base = len(self.data) * 9 // 8 + 1, self.bases[which]
+            self.powers[which] = [np.concatenate([np.ones(1, "uint64"), np.cumprod(np.full(n, x, "uint64"), dtype="uint64")])
+                                  for x in (base, pow(base, -1, 1 << 64))]
+        return self.powers[which]
 
     def read(self, texts: list[tuple[int, bytes]]) -> None:
         """``texts`` with the hash of their language each."""
         data = b"\n".join(text for _, text in texts)
         raw = np.frombuffer(data, "uint8")
-        if len(raw) >= self.size:
-            self.grow(2 * len(raw) + 1)
         self.data = self.lower[raw]
         kind = self.kind[raw]
         edge = np.diff((kind == 0).astype("int8"), prepend=0, append=0)
@@ -71,7 +72,7 @@ class Phrases:
 
     def hashes(self, which: int = 0) -> list[np.ndarray]:
         """For each number of words the hashes at all places, also where the piece ends before."""
-        powers, inverse = self.powers[which]
+        powers, inverse = self.powers_of(which)
         sums = np.zeros(len(self.data) + 1, "uint64")
         np.cumsum(self.byte[self.data] * powers[:len(self.data)], out=sums[1:])
         words = mixed((sums[self.end] - sums[self.begin]) * inverse[self.begin] + (self.end - self.begin).astype("uint64"))
