@@ -15,6 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,13 +109,14 @@ def _token_counts(tokens: DataFrame) -> list[tuple[int, int]]:
 
 
 def _sequences(tokens: DataFrame, starts: dict[int, tuple[int, int]], length: int, n: int, seed: int, shard: int) -> DataFrame:
-    """``shard, slot, sequence_id, at, ids, doc_ids``: the part of each sequence that a partition has, nearly always all."""
+    """``shard, slot, sequence_id, at, ids, doc_ids``: the part of each sequence that a partition has, nearly always all; ids are packed
+    small (zstd), as every one of them is shuffled."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
 
     def deal(batches):
         begin, expected = starts.value.get(TaskContext.get().partitionId(), (0, 0))
         place, buffer, filled, docs_in = begin, [], 0, []
-        id_type = None
+        id_type, pack = None, zstandard.ZstdCompressor(level=3)
 
         def rows(found):
             sequence = np.array([f[0] for f in found], "int64")
@@ -126,7 +128,7 @@ def _sequences(tokens: DataFrame, starts: dict[int, tuple[int, int]], length: in
 
         def flush():
             start = place - filled
-            return start // length, start % length, b"".join(buffer), list(dict.fromkeys(docs_in))
+            return start // length, start % length, pack.compress(b"".join(buffer)), list(dict.fromkeys(docs_in))
 
         for batch in batches:
             id_type, found = batch.column(0).type, []
@@ -163,7 +165,7 @@ def materialise(docs: DataFrame, root: str, tokenizer_path: str, seed: int = 0,
     """
     spark = small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tokens = stored(token_table(texts, tokenizer_path, end_id), "tokens")
+    tokens = stored(token_table(texts, tokenizer_path, end_id), "tokens", "zstd")
     counts = _token_counts(tokens)
     begins = np.cumsum([0] + [n for _, n in counts])
     total = int(begins[-1])
@@ -188,6 +190,7 @@ def _writer(root: str, length: int, shard: int, end_id: int):
         store.create_dir(folder, recursive=True)
         file = name = None
         held: list = []  # parts of the sequence being gathered
+        unpack = zstandard.ZstdDecompressor()
 
         def close():
             file.close()
@@ -204,7 +207,7 @@ def _writer(root: str, length: int, shard: int, end_id: int):
                     close()
                 name = (target, f".{target}.{uuid.uuid4().hex}")
                 file = store.open_output_stream(f"{folder}/{name[1]}")
-            ids = b"".join(p["ids"] for p in parts)
+            ids = b"".join(unpack.decompress(p["ids"]) for p in parts)
             file.write(ids + np.full(length - len(ids) // 2, end_id, "<u2").tobytes())
             docs = list(dict.fromkeys(d for p in parts for d in p["doc_ids"]))
             return (slot, sequence, slot // shard, slot % shard * length * 2, len(ids) // 2, zlib.crc32(ids), docs)
