@@ -443,12 +443,12 @@ def repeated_bytes(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
     size = distinct.agg(F.sum(F.length("bytes"))).first()[0] or 0
     crowded = spark.sparkContext.broadcast(bit_filter(crowded_keys(distinct)))
     parts = int(2 * size // PART_BYTES + 1)
-    single = single_windows(distinct, crowded, parts)
+    single = stored(single_windows(distinct, crowded, parts), "single", ZSTD)
     least = stored(single.groupBy("bytes").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("rows")), "least")
     alone = joined(single, least, ["bytes"], "rows").select("p1", "p2", "n", "at", F.lit(1).alias("length"), F.col("least").alias("low"))
     found = stored(merged(shard_transforms(distinct, crowded, parts)).unionByName(alone).groupBy("p1", "p2").agg(
         F.max("n").alias("n"), F.collect_list(F.struct("at", "length", "low")).alias("found")), "found", ZSTD)
-    discard(distinct, least)
+    discard(distinct, single, least)
     later = F.transform(
         F.filter("found", lambda x: x["low"] < F.col("doc_id")),
         lambda x: F.struct((F.col("start") + x["at"]).alias("start"), x["length"].alias("length")))
@@ -469,8 +469,10 @@ def repeated_bytes(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
 
 SQL = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, x, unnest(range(1, length(x) - 98, 2)) AS i FROM d WHERE length(x) >= 100),
-g AS (SELECT doc_id, i, md5_number(x[i:i + 99]) AS h FROM p),
+b AS (SELECT doc_id, x, unnest(range(1, length(x) - 98, 2000)) AS b FROM d WHERE length(x) >= 100),
+y AS (SELECT doc_id, b, substr(x, b, 2098) AS y FROM b),
+p AS (SELECT doc_id, b, y, unnest(range(1, least(2001, length(y) - 98), 2)) AS j FROM y),
+g AS (SELECT doc_id, b + j - 1 AS i, md5_number(substr(y, j, 100)) AS h FROM p),
 low AS (SELECT h, min(doc_id) AS low FROM g GROUP BY h),
 hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g JOIN low USING (h) WHERE doc_id > low),
 runs AS (SELECT doc_id, i, sum((before IS NULL OR i - before > 100)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit),
