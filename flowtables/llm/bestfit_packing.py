@@ -2,7 +2,8 @@
 
 The plan is made over counts, not documents: at most ``capacity`` lengths, whatever the number of rows. It says for each
 length which ranks of that length go to which sequences. Every piece then finds its place from its rank within its length.
-Ranks are counted in salted buckets with a base each, so a length that holds a third of all pieces is spread over tasks.
+Ranks are counted where the pieces are cut: each task numbers its own pieces of a length, and only the tasks' counts meet, one
+row a task and length. So no piece is moved or sorted for its rank, whatever its length holds of all pieces.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,14 +23,15 @@ from flowtables.llm.tokens import StretchEncoder, read_spec
 
 CAPACITY = 2048
 END_ID = 0
-RANK_BUCKETS = 256
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents as token ids with the end id, cut to ``capacity``: ``doc_id, piece, start, length, ids_crc32``.
+    """Documents as token ids with the end id, cut to ``capacity``: ``doc_id, piece, start, length, ids_crc32, part, nth``.
 
-    ``with_ids`` adds the ids (little-endian unsigned 32-bit). A null or empty text is the end id alone.
+    ``part`` is the task and ``nth`` the piece's number from 0 among the task's pieces of its length. They hold for one run
+    of the tasks: write the rows before using them, with no ``coalesce`` in between. ``with_ids`` adds the ids (little-endian
+    unsigned 32-bit). A null or empty text is the end id alone.
     """
     spec = small_batches(docs.sparkSession).sparkContext.broadcast(read_spec(tokenizer_path))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -36,8 +39,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
 
     def cut(batches):
         coder = StretchEncoder(spec.value)
+        task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            at, piece, start, length, crc, ids = [], [], [], [], [], []
+            at, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []
             for row, found in enumerate(coder.encoded(batch.column(1))):
                 whole = found.tobytes() + end
                 for n, begin in enumerate(range(0, len(whole), 4 * capacity)):
@@ -47,16 +51,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
                     start.append(begin // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+                    nth.append(seen[len(part) // 4])
+                    seen[len(part) // 4] += 1
                     if with_ids:
                         ids.append(part)
             columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                       pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                       pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array([task] * len(at), pa.int32()),
+                       pa.array(nth, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
             if with_ids:
                 columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
@@ -99,23 +106,25 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return places
 
 
-def ranked(cut: DataFrame) -> DataFrame:
-    """Adds ``rank``: a number from 0 within each length, without gaps."""
-    salted = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int"))
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = salted.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    bases = bases.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return salted.withColumn("inside", inside).join(bases, ["length", "bucket"]).withColumn(
-        "rank", F.col("base") + F.col("inside")).drop("bucket", "inside", "base")
+def bases(cut: DataFrame) -> DataFrame:
+    """``part, length, n, base``: how many pieces of a length each task has, and how many the tasks before it have."""
+    counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
 def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to pieces of ``length`` up to ``capacity``; every sequence is filled from 0 without gaps."""
-    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a length
+    """Adds ``sequence_id`` and ``offset`` to written :func:`pieces` of ``length`` up to ``capacity``, in place of ``part, nth``.
+
+    Every sequence is filled from 0 without gaps.
+    """
+    counted = stored(bases(cut), "bases")  # as its size is known, Spark chooses how to join it
+    histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
     table = np.array(sorted(plan(histogram, capacity)), "int64").reshape(-1, 5)
     shared = cut.sparkSession.sparkContext.broadcast(table)
-    with_rank = ranked(cut)
+    kept = cut.drop("part", "nth")
+    with_rank = cut.join(counted.select("part", "length", "base"), ["part", "length"]).select(
+        *kept.columns, (F.col("base") + F.col("nth")).alias("rank"))
 
     def find(batches):
         length, first_rank, first, offset, each = shared.value.T
@@ -131,8 +140,8 @@ def placed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 pa.array(first[at] + turn // each[at]), pa.array(offset[at] + turn % each[at] * own)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    names = cut.columns
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
+    names = kept.columns
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
     return with_rank.mapInArrow(find, f"{fields}, sequence_id long, offset long")
 
 

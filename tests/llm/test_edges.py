@@ -262,3 +262,29 @@ def test_pipeline_stages_keep_columns(spark, docs):
             assert now.columns == docs.columns
     left = {r["doc_id"] for r in now.select("doc_id").distinct().collect()}
     assert left == {1, 6, 7, 8, None, 11, 14}
+
+
+@pytest.mark.parametrize("threshold", ["10m", "-1"])
+def test_packing_over_many_tasks_with_one_length_in_most_rows(spark, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        docs = spark.range(0, 600, 1, 13).select(
+            F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, "one two three").otherwise(
+                F.expr("array_join(array_repeat('word', cast(id * 7 as int)), ' ')")).alias("text"))
+        rows = bestfit_packing.pack(docs, WORD).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len({(r["doc_id"], r["piece"]) for r in rows}) == len(rows)
+    filled = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= bestfit_packing.CAPACITY
+    assert len(filled) <= -(-sum(filled.values()) // bestfit_packing.CAPACITY) + 1
+
+
+def test_packing_reaches_the_lower_bound_on_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = bestfit_packing.pack(docs, WORD).agg(F.sum("length"), F.countDistinct("sequence_id")).first()
+    assert found[1] == -(-found[0] // bestfit_packing.CAPACITY)
