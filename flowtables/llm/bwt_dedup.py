@@ -7,9 +7,9 @@ piece is indexed once, with the smallest document that holds it.
 
 The index is a suffix order in parts. All windows of one key are in one part, so a part needs nothing of the others. Shards of
 a part are transformed apart, each with its own sort; then the transforms alone are merged. The interleave of the shards' suffixes
-is refined step by step: the order by ``h`` bytes and one pass over the transforms' bytes give the order by ``h + 1``. Suffixes
-that agree in ``h`` bytes stand side by side as a block: where a block parts, the common prefix of its neighbours is ``h``.
-Blocks of one suffix are settled and leave the refinement. After ``WINDOW`` steps what is left are the repeated intervals, and the
+is refined step by step: the order by ``h`` bytes and one pass over the transforms' bytes give the order by ``h + 2``. Suffixes
+that agree in ``h`` bytes stand side by side as a block: where a block parts, the common prefix of its neighbours is ``h`` or one more.
+Blocks of one suffix are settled and leave the refinement. After ``WINDOW`` bytes what is left are the repeated intervals, and the
 smallest document of each is the answer for all windows in it.
 """
 
@@ -86,23 +86,29 @@ def _chunks(texts: list[bytes | None]):
 
 
 class Keyed:
-    """Texts put together, with the key of each window and whether the window lies in one text."""
+    """Texts put together, with the key of each window and whether the window lies in one text: between two texts some do not."""
 
     def __init__(self, some: list[tuple[int, int, bytes]], key: WindowKeys):
         self.data = b"".join(part for _, _, part in some)
         lengths = np.array([len(part) for _, _, part in some])
         self.keys = key(np.frombuffer(self.data, "uint8"))
-        n = len(self.keys)
-        ends = np.cumsum(lengths)
-        self.text = np.repeat(np.arange(len(some)), lengths)[:n]
-        self.inside = ends[self.text] - np.arange(n) >= WINDOW
-        self.rows = np.array([row for row, _, _ in some])[self.text]
-        self.places = np.arange(n) - (ends - lengths)[self.text] + np.array([base for _, base, _ in some])[self.text]
+        self.ends = np.cumsum(lengths)
+        self.inside = np.ones(len(self.data), bool)
+        self.inside[(self.ends[:, None] - np.arange(1, WINDOW)).ravel()] = False
+        self.inside = self.inside[:len(self.keys)]
+        self.row = np.array([row for row, _, _ in some])
+        self.before = np.array([base for _, base, _ in some]) - (self.ends - lengths)
+
+    def rows(self, windows: np.ndarray) -> np.ndarray:
+        return self.row[np.searchsorted(self.ends, windows, "right")]
+
+    def places(self, windows: np.ndarray) -> np.ndarray:
+        return windows + self.before[np.searchsorted(self.ends, windows, "right")]
 
     def runs(self, chosen: np.ndarray, cut: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-        """First windows and lengths of the runs of chosen windows, cut where ``cut`` says so and after ``most`` windows."""
+        """First windows and lengths of the runs of chosen windows, all of them inside, cut where ``cut`` says so and after ``most`` windows."""
         first = chosen.copy()
-        first[1:] &= ~chosen[:-1] | (self.text[1:] != self.text[:-1]) | cut[1:]
+        first[1:] &= ~chosen[:-1] | cut[1:]
         begins = np.nonzero(first)[0]
         if not len(begins):
             return begins, begins
@@ -128,7 +134,7 @@ def shared_keys(texts: DataFrame) -> DataFrame:
             for some in _chunks(batch.column(0).to_pylist()):
                 found = Keyed(some, key)
                 heads, _ = found.runs(found.inside, found.new_key(), 1 << 40)
-                keys, rows = found.keys[heads], found.rows[heads]
+                keys, rows = found.keys[heads], found.rows(heads)
                 order = np.lexsort((rows, keys))
                 keys, rows = keys[order], rows[order]
                 first = np.ones(len(keys), bool)
@@ -172,9 +178,9 @@ def pieces(texts: DataFrame, bits) -> DataFrame:
                 if len(seen) > SEEN:
                     seen.clear()
                 p = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
-                rows = pa.array(found.rows[begins])
+                rows = pa.array(found.rows(begins))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.places[begins]), pa.array(lengths.astype("int32")),
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(found.places(begins)), pa.array(lengths.astype("int32")),
                      pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(content, pa.binary())],
                     ["doc_id", "mark", "start", "length", "p1", "p2", "bytes"])
 
@@ -210,9 +216,9 @@ def _segments(batches, crowded, parts: int):
             ends = begins + lengths + WINDOW - 1
             content = pa.array([found.data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())
             part = np.where(single[begins], -1, (found.keys[begins] % np.uint64(parts)).astype("int64"))
-            rows = pa.array(found.rows[begins])
+            rows = pa.array(found.rows(begins))
             yield pa.table([
-                pa.array(part), *(batch.column(k).take(rows) for k in (0, 1)), pa.array(found.places[begins].astype("int32")),
+                pa.array(part), *(batch.column(k).take(rows) for k in (0, 1)), pa.array(found.places(begins).astype("int32")),
                 *(batch.column(k).take(rows) for k in (2, 3)), content], names=["part", "p1", "p2", "at", "low", "n", "bytes"])
 
 
@@ -230,16 +236,20 @@ def single_windows(distinct: DataFrame, crowded, parts: int) -> DataFrame:
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """The suffixes of strings in a row (bytes plus 1, each string ended by 0) in order; a 0 before that of a later string.
 
-    Seven bytes at first, then the ranks of suffixes still equal are doubled.
+    As many bytes as 63 bits hold at first, then the ranks of suffixes still equal are doubled.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype("int64")
+    there = np.bincount(text, minlength=257) > 0
+    there[0] = True  # stays 0
+    code = np.cumsum(there) - 1
+    bits = max(1, int(code[-1]).bit_length())
+    width = 63 // bits
+    padded = np.concatenate([code[text], np.zeros(width, "int64")])
     keys, open_ = np.zeros(n, "int64"), np.ones(n, bool)
-    for k in range(7):
-        keys = keys * 512 + np.where(open_, padded[k:k + n], 0)
+    for k in range(width):
+        keys = keys << bits | np.where(open_, padded[k:k + n], 0)
         open_ &= padded[k:k + n] != 0  # nothing behind a string's end counts
     order = np.argsort(keys, kind="stable")
-    width = 7
     new = np.ones(n, bool)
     new[1:] = (np.diff(keys[order]) != 0) | ~open_[order][1:]  # those with an end in them are settled by their place
     while not new.all():
@@ -310,23 +320,33 @@ def shard_transforms(distinct: DataFrame, crowded, parts: int) -> DataFrame:
         run, f"part long, before binary, begins binary, p1 array<long>, p2 array<long>, at array<int>, low array<{kind}>, n array<long>")
 
 
-def repeated_blocks(before: np.ndarray, back: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def two_bytes_on(before: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """For each row the two bytes before its suffix, the further one first, and above them the row of the suffix that begins there.
+
+    Rows with fewer bytes before them get something that no one may look at. In one number, as a refinement's look-ups are scattered.
+    """
+    byte = (before - 1).astype("uint8").astype("int64")
+    return back[back].astype("int64") << 16 | byte[back] << 8 | byte
+
+
+def repeated_blocks(on: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Refines the interleave of all shards' suffixes to ``WINDOW`` bytes; rows of the repeated intervals, and each one's block.
 
-    ``before`` is the byte before each row's suffix, ``back`` the row of the suffix that begins there; ``rows`` are the suffixes
-    that have ``WINDOW`` bytes of their string before them. After ``h`` steps a window stands for its last ``h`` bytes and on.
+    ``on`` is :func:`two_bytes_on`: a step takes the order by ``h`` bytes to that by ``h + 2``. ``rows`` are the suffixes that have
+    ``WINDOW`` bytes of their string before them. After ``h`` bytes a window stands for its last ``h`` bytes and on.
     """
-    block = np.zeros(len(rows), "int32")
-    for _ in range(WINDOW):
+    block = np.zeros(len(rows), "int64")
+    for _ in range(WINDOW // 2):
         if not len(rows):
             break
-        byte = before[rows]
-        order = np.argsort(byte, kind="stable")
-        rows, block, byte = back[rows][order], block[order], byte[order]
+        there = on[rows]
+        pair = there.astype("uint16")
+        order = np.argsort(pair, kind="stable")
+        rows, own = (there >> 16).astype("int32")[order], (block << 16 | pair)[order]
         first = np.ones(len(rows) + 1, bool)
-        first[1:-1] = (byte[1:] != byte[:-1]) | (block[1:] != block[:-1])
+        np.not_equal(own[1:], own[:-1], out=first[1:-1])
         several = ~(first[:-1] & first[1:])
-        block = np.cumsum(first[:-1], dtype="int32")[several]
+        block = np.cumsum(first[:-1])[several]
         rows = rows[several]
     return rows, block
 
@@ -354,17 +374,19 @@ def merged(shards: DataFrame) -> DataFrame:
         place = {x: k for k, x in enumerate(ordered)}
         own = np.fromiter(map(place.__getitem__, lows), "int64", len(lows))
         # Each string is read from its end to its begin, all at once; a row is met once.
-        string = np.empty(size, "int32")
-        behind = np.empty(size, "int32")  # bytes from the suffix to the string's end
-        at_row, which, step = starts, np.arange(len(starts), dtype="int32"), 0
+        met = np.empty(size, "int64")  # the row's string, and below it the bytes from its suffix to the string's end
+        left = back.astype("int64") << 1 | (before != 0)
+        at_row, which, step = starts, np.arange(len(starts), dtype="int64") << 32, 0
         while len(at_row):
-            string[at_row], behind[at_row] = which, step
-            going = before[at_row] != 0
-            at_row, which, step = back[at_row[going]], which[going], step + 1
+            met[at_row] = which + step
+            there = left[at_row]
+            going = (there & 1).astype(bool)
+            at_row, which, step = (there >> 1)[going], which[going], step + 1
+        string, behind = (met >> 32).astype("int32"), met.astype("int32")
         low = own[string]
         whole = np.zeros(len(starts), "int32")
         whole[string[before == 0]] = behind[before == 0]
-        rows, block = repeated_blocks(before, back, np.nonzero(behind <= (whole - WINDOW)[string])[0].astype("int32"))
+        rows, block = repeated_blocks(two_bytes_on(before, back), np.nonzero(behind <= (whole - WINDOW)[string])[0].astype("int32"))
         if len(rows):
             begins = np.nonzero(np.diff(block, prepend=-1))[0]
             least = np.minimum.reduceat(low[rows], begins)
