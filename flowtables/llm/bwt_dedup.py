@@ -428,11 +428,13 @@ def cut(chosen: DataFrame, with_text: bool) -> DataFrame:
     def run(batches):
         for batch in batches:
             removed, runs, digest, kept = [], [], [], []
-            for data, spans in zip(batch.column("bytes").to_pylist(), batch.column("spans").to_pylist(), strict=True):
-                edge = np.zeros(len(data) + 1, "int32")
-                np.add.at(edge, [s["start"] for s in spans], 1)
-                np.add.at(edge, [s["start"] + s["length"] + WINDOW - 1 for s in spans], -1)
-                gone = np.cumsum(edge)[:-1] > 0
+            spans = batch.column("spans")
+            starts = spans.values.field("start").to_numpy()
+            ends = starts + spans.values.field("length").to_numpy() + WINDOW - 1
+            of = spans.offsets.to_numpy()
+            for data, a, b in zip(batch.column("bytes").to_pylist(), of[:-1].tolist(), of[1:].tolist(), strict=True):
+                n = len(data) + 1
+                gone = np.cumsum(np.bincount(starts[a:b], minlength=n) - np.bincount(ends[a:b], minlength=n))[:-1] > 0
                 left = np.frombuffer(data, "uint8")[~gone].tobytes()
                 removed.append(int(gone.sum()))
                 runs.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
