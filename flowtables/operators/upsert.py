@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowtables.catalog import RecordClass
+from flowtables.functions import fieldtext
 from flowtables.functions.timecols import instant_literal, parse_iso
 
 KEY = ("id", "time")
@@ -49,7 +50,7 @@ def _keyed(records: DataFrame, cls: RecordClass, time_field: Column | None = Non
     fields = F.col("fields")
     own = F.when(F.map_contains_key(fields, "DataCollectTime"), F.lit("DataCollectTime")).otherwise(F.lit("UpdateTime"))
     return records.withColumn("time_field", own if time_field is None else time_field).select(
-        fields[cls.id_field].alias("id"), parse_iso(F.element_at(fields, F.col("time_field"))).alias("time"),
+        fieldtext.plain(fields[cls.id_field]).alias("id"), parse_iso(fieldtext.plain(F.element_at(fields, F.col("time_field")))).alias("time"),
         "time_field", "fields", "seq")
 
 
@@ -85,13 +86,13 @@ def merge_fields(target: DataFrame, batch: DataFrame) -> DataFrame:
 
 def _typed(text: Column, kind: str) -> Column:
     if kind == "string":
-        return text
+        return fieldtext.plain(text)
     if kind == "timestamp":
-        return parse_iso(text)
+        return parse_iso(fieldtext.plain(text))
     if kind.startswith(("array", "map", "struct")):
         # Numbers arrive quoted or not; read them as text, then cast each where it can be.
         return F.from_json(text, _texts(kind)).try_cast(kind)
-    return text.try_cast(kind)
+    return fieldtext.plain(text).try_cast(kind)
 
 
 def _texts(kind: str) -> str:
@@ -145,17 +146,21 @@ def _with_given(columns: dict[str, str], cls: RecordClass) -> list:
         for name, kind in columns.items()
     ]
     declared = F.array(*[F.lit(name) for name in (*cls.key, *columns)])
-    unknown = F.map_filter(new, lambda k, v: ~F.array_contains(declared, k) | _more(k, v, columns))
+    unknown = F.map_filter(new, lambda k, v: ~F.array_contains(declared, k) | _more(k, v, columns | {cls.id_field: "string"}))
     old = F.when(new.isNull(), F.col("extra")).otherwise(F.map_filter("extra", lambda k, _: ~F.map_contains_key(new, k)))
     return [*cls.key, *merged, overlay(old, unknown).alias("extra")]
 
 
 def _more(name: Column, text: Column, columns: dict[str, str]) -> Column:
-    """Whether a declared nested field needs its whole JSON kept in ``extra``, beside the typed column."""
+    """Whether a declared field's value must be kept in ``extra``, beside the typed column: nested ones that hold more, and numbers
+    given for a text."""
     found = F.lit(False)
     for declared, kind in columns.items():
         if kind.startswith(("array", "struct")):
             found = found | ((name == declared) & _holds_more(text, kind))
+    strings = [declared for declared, kind in columns.items() if kind == "string"]
+    if strings:
+        found = found | (name.isin(*strings) & fieldtext.is_number(text))
     return found
 
 

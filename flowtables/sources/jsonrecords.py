@@ -1,14 +1,15 @@
-"""JSON sources. A record arrives as ``fields``: top-level name -> JSON text, so that an absent field and
-an explicit null stay apart. ``header`` is the batch's UpdateTime text, ``seq`` the arrival order."""
+"""JSON sources. A record arrives as ``fields``: top-level name -> value (see ``functions.fieldtext``), so that an absent
+field and an explicit null, a number and a text stay apart. ``header`` is the batch's UpdateTime text, ``seq`` the arrival order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtables.catalog import RecordClass
+from flowtables.functions import fieldtext
 
-FIELDS = "map<string,string>"
+FIELDS = "map<string,variant>"
 CORRUPT = "_unreadable"
 
 
@@ -16,10 +17,14 @@ def envelope_schema(cls: RecordClass) -> str:
     return f"UpdateTime string, {cls.container} array<{FIELDS}>"
 
 
+def _values(parsed: Column) -> Column:
+    return F.transform_values(parsed, lambda _, value: fieldtext.from_variant(value))
+
+
 def _records(batches: DataFrame, cls: RecordClass) -> DataFrame:
     return batches.select(
         F.col("UpdateTime").alias("header"), "_order", F.posexplode(cls.container).alias("_pos", "fields"),
-    ).select("header", "fields", F.struct("_order", "_pos").alias("seq"))
+    ).select("header", _values(F.col("fields")).alias("fields"), F.struct("_order", "_pos").alias("seq"))
 
 
 def _place(rows: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def parse_batches(texts: DataFrame, column: str, cls: RecordClass, *, order: str
 def line_records(lines: DataFrame) -> DataFrame:
     """Raw lines of a text scan as records, keeping where each came from."""
     return lines.select(
-        F.lit(None).cast("string").alias("header"), F.from_json("value", FIELDS).alias("fields"),
+        F.lit(None).cast("string").alias("header"), _values(F.from_json("value", FIELDS)).alias("fields"),
         "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
 
 

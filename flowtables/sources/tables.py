@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtables.catalog import RecordClass, authority, record_class
+from flowtables.functions import fieldtext
 from flowtables.functions.timecols import instant_literal, iso_text
 from flowtables.operators import upsert
 from flowtables.sources import commits
@@ -284,7 +285,7 @@ def json_rows(table: DataFrame, *times: str) -> DataFrame:
     """Each row as JSON text with times in local ISO form; null fields are left out.
 
     The fields in ``extra`` stand beside the others, as the record had them; a nested field that is there whole stands for its
-    typed column. Numbers that are no declared field's come back as texts.
+    typed column. Numbers come back as numbers and texts as texts.
     """
     shown = table
     for name in times:
@@ -324,10 +325,9 @@ def _inner(xml: Column, row_tag: str) -> Column:
 
 def _extra_json(extra: Column) -> Column:
     def member(entry):
-        nested = entry["value"].rlike(r"^\s*[\[{]") & F.try_parse_json(entry["value"]).isNotNull()
         text = F.to_json(F.create_map(entry["key"], entry["value"]), {"ignoreNullFields": "false"})
         key = F.to_json(F.create_map(entry["key"], F.lit(0)))
-        return F.when(nested, F.concat(F.substr(key, F.lit(2), F.length(key) - 3), entry["value"])).otherwise(
+        return F.when(fieldtext.is_json(entry["value"]), F.concat(F.substr(key, F.lit(2), F.length(key) - 3), entry["value"])).otherwise(
             F.substr(text, F.lit(2), F.length(text) - 2))
 
     return F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(extra), member), ","), F.lit("}"))

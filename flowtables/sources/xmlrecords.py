@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtables.catalog import CLASSES, RecordClass
+from flowtables.functions import fieldtext
 from flowtables.functions.timecols import parse_iso
 
 # Optional elements that are dropped when they are empty or nil.
@@ -179,10 +180,16 @@ def parse_documents(texts: DataFrame, column: str, cls: RecordClass) -> DataFram
 def parse_batches(texts: DataFrame, column: str, cls: RecordClass, *, order: str) -> DataFrame:
     """Records of XML documents as header text, fields, seq: the input of the upsert operators."""
     docs = parse_documents(texts.select(F.col(order).alias("_order"), column), column, cls)
-    return docs.select(F.col("header.UpdateTime").alias("header"), "_order", F.posexplode("records").alias("_pos", "fields")).select(
+    records = F.posexplode(F.zip_with("records", "nested", _values)).alias("_pos", "fields")
+    return docs.select(F.col("header.UpdateTime").alias("header"), "_order", records).select(
         "header", "fields", F.struct("_order", "_pos").alias("seq"))
 
 
+def _values(fields: Column, nested: Column) -> Column:
+    """A record's texts as field values: XML has no numbers, so all that is not nested is text."""
+    return F.transform_values(fields, lambda k, v: F.when(F.array_contains(nested, k), v).otherwise(fieldtext.from_text(v)))
+
+
 SALTS = 16
 
 
@@ -242,7 +249,9 @@ def read_batches(spark: SparkSession, path: str, cls: RecordClass) -> DataFrame:
     Of a file that is not whole nothing is read: see :func:`unreadable`.
     """
     found = _file_records(spark, path, cls).where("x IS NOT NULL")
-    return found.select("header", _record(F.col("x"), cls)["fields"].alias("fields"), F.struct("time", "file", "start", "row", "part").alias("seq"))
+    found = found.withColumn("_record", _record(F.col("x"), cls))
+    fields = _values(F.col("_record.fields"), F.col("_record.nested"))
+    return found.select("header", fields.alias("fields"), F.struct("time", "file", "start", "row", "part").alias("seq"))
 
 
 def unreadable(spark: SparkSession, path: str, cls: RecordClass) -> DataFrame:

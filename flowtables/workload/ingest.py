@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowtables.catalog import CLASSES
+from flowtables.functions import fieldtext
 from flowtables.operators import upsert
 from flowtables.sources import jsonrecords, tables
 from flowtables.sources.scratch import scratch_path
@@ -48,7 +49,7 @@ def event_table(merged: DataFrame) -> DataFrame:
     fields = F.col("fields")
     return merged.select(
         F.col("id").cast("bigint").alias("user_id"), ntz("time", "day"), fields["event_type"].alias("event_type"),
-        fields["props"].alias("props"), fields["value"].try_cast("double").alias("value"),
+        fieldtext.plain(fields["props"]).alias("props"), fieldtext.plain(fields["value"]).try_cast("double").alias("value"),
         F.map_contains_key(fields, "value").alias("has_value"))
 
 
@@ -205,7 +206,7 @@ def ingest_json_batch(spark, sf_dir):
     return keyed.select(
         F.col("seq.header").cast("bigint").alias("batch_no"), F.col("id").cast("bigint").alias("user_id"),
         ntz("time", "day"), F.col("fields")["event_type"].alias("event_type"),
-        F.col("fields")["value"].try_cast("double").alias("value"), F.col("seq.seq._pos").cast("bigint").alias("pos"))
+        fieldtext.plain(F.col("fields")["value"]).try_cast("double").alias("value"), F.col("seq.seq._pos").cast("bigint").alias("pos"))
 
 
 @query("ingest_json_lines", """
@@ -241,7 +242,7 @@ def upsert_table(spark, sf_dir):
         tables.upsert_into(spark, root, "NFB", "VDLive", upsert.key_live(part, detector))
     return tables.scan(spark, root, "NFB", "VDLive").select(
         F.col("VDID").alias("oid"), ntz("DataCollectTime", "day"), F.col("Status").alias("status"),
-        F.col("extra")["value"].try_cast("double").alias("value"))
+        fieldtext.plain(F.col("extra")["value"]).try_cast("double").alias("value"))
 
 
 def _detector_records(spark, sf_dir, types: tuple[str, ...], field: str) -> DataFrame:

@@ -160,3 +160,17 @@ def test_lines_keep_file_order(spark, tmp_path):
     assert only(upsert.last_fields(upsert.key_live(jsonrecords.read_records(spark, folder), LIVE)))["n"] == "199"
     seqs = [r.n for r in jsonrecords.read_records(spark, folder).orderBy("seq").select(F.col("fields")["n"].cast("int").alias("n")).collect()]
     assert seqs == list(range(200))
+
+
+def test_numbers_come_back_as_numbers_and_texts_as_texts(spark, tmp_path):
+    history = TrafficHistory(spark, str(tmp_path / "table"))
+    record = {"VDID": "7", "DataCollectTime": T1, "Status": 0, "N": 5, "Share": 1.25, "On": True, "Text": "5", "Yes": "true",
+              "Quoted": '"x"', "Null": None, "Word": "null", "List": [1, "1"], "Broken": "{x"}
+    history.upload_live("NFB", "VDLive", write(tmp_path / "a", "a.json", record))
+    row = history.record("NFB", "VDLive", "7", T1)
+    shown = json.loads(history.as_json(row).first().json)
+    shown["DataCollectTime"] = T1
+    assert shown == record and row.first().Status == "0"
+    history.upload_live("NFB", "VDLive", write(tmp_path / "b", "b.json", {"VDID": 7, "DataCollectTime": T1, "Status": "1", "N": "5"}))
+    shown = json.loads(history.as_json(history.record("NFB", "VDLive", "7", T1)).first().json)
+    assert history.table("NFB", "VDLive").count() == 1 and (shown["VDID"], shown["Status"], shown["N"], shown["Text"]) == (7, "1", "5", "5")
