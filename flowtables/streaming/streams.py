@@ -131,7 +131,13 @@ class _Detector:
             self.minutes[minute] = record
 
     def windows(self, until: int, interval: int, rolling: int):
-        """The windows that end before minute ``until``: slot, status, links (None where no record is usable)."""
+        """The windows that end before minute ``until``: slot, status, links (None where no record is usable).
+
+        A step forgets only the minutes it passes: looking through all that are held would cost their square.
+        """
+        if self.slot < until:
+            for minute in [m for m in self.minutes if m <= self.slot - rolling]:
+                del self.minutes[minute]
         while self.slot < until:
             inside = [self.minutes[m] for m in range(self.slot - rolling + 1, self.slot + 1) if m in self.minutes] if self.minutes else []
             usable = [(status, links) for _, status, links in inside if status in (NORMAL, REPAIR)]
@@ -139,9 +145,9 @@ class _Detector:
                 yield self.slot, max(status for status, _ in usable), self._links([links for _, links in usable], rolling)
             else:
                 yield self.slot, ABNORMAL if len(inside) == rolling else NODATA, None
+            for minute in range(self.slot - rolling + 1, self.slot + interval - rolling + 1) if self.minutes else ():
+                self.minutes.pop(minute, None)
             self.slot += interval
-            for minute in [m for m in self.minutes if m <= self.slot - rolling]:
-                del self.minutes[minute]
 
     @staticmethod
     def _links(records: list, rolling: int) -> list[dict]:

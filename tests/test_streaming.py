@@ -124,3 +124,19 @@ def test_state_does_not_grow_with_lanes():
         return len(streams.pickle.dumps(detector.minutes))
 
     assert held(1) == held(500)
+
+
+def test_a_step_of_the_window_looks_only_at_the_minutes_it_passes():
+    class Counted(dict):
+        seen = 0
+
+        def __iter__(self):
+            for key in super().__iter__():
+                Counted.seen += 1
+                yield key
+
+    minutes = Counted({m: (m * 60_000_000, 0, []) for m in range(-5, 600)})
+    detector = streams._Detector(7, minutes)
+    given = list(detector.windows(500, 4, 6))
+    assert len(given) == 124 and all(status == 0 for _, status, _ in given)
+    assert min(detector.minutes) == detector.slot - 5 and Counted.seen < 2_000
