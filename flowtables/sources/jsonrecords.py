@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowtables.catalog import RecordClass
 from flowtables.functions import fieldtext
+from flowtables.functions.evaluate import unfold
 
 FIELDS = "map<string,variant>"
 CORRUPT = "_unreadable"
@@ -22,9 +23,8 @@ def _values(parsed: Column) -> Column:
 
 
 def _records(batches: DataFrame, cls: RecordClass) -> DataFrame:
-    return batches.select(
-        F.col("UpdateTime").alias("header"), "_order", F.posexplode(cls.container).alias("_pos", "fields"),
-    ).select("header", _values(F.col("fields")).alias("fields"), F.struct("_order", "_pos").alias("seq"))
+    records = batches.select(F.col("UpdateTime").alias("header"), "_order", F.transform(cls.container, _values).alias("_all"))
+    return unfold(records, "_all", "fields").select("header", "fields", F.struct("_order", "_pos").alias("seq"))
 
 
 def _place(rows: DataFrame) -> DataFrame:
