@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from flowtables.llm.stage import small_batches, stored
-from flowtables.llm.tokens import StretchEncoder, read_spec
+from flowtables.llm.tokens import encoder, read_spec
 
 CAPACITY = 2048
 END_ID = 0
@@ -33,12 +33,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     of the tasks: write the rows before using them, with no ``coalesce`` in between. ``with_ids`` adds the ids (little-endian
     unsigned 32-bit). A null or empty text is the end id alone.
     """
-    spec = small_batches(docs.sparkSession).sparkContext.broadcast(read_spec(tokenizer_path))
+    spec = small_batches(docs.sparkSession).sparkContext.broadcast({"spec": read_spec(tokenizer_path)})
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
-        coder = StretchEncoder(spec.value)
+        coder = encoder(spec.value)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
             at, piece, start, length, crc, nth, ids = [], [], [], [], [], [], []

@@ -2,12 +2,15 @@
 
 Usable with tokenizers whose rules never look across ASCII white space (they drop it or split at it) nor between an ASCII
 letter or digit and marks after it (``MARKS``): then the ids of a text are those of its stretches in a row, and those of a
-stretch are its word's and its marks'. New stretches are encoded in runs, as one text with ``BAR`` between them.
+stretch are its word's and its marks'. New stretches are encoded in runs, as one text with ``BAR`` between them. Where the
+tokenizer is known to lower a word of Latin letters (``WORD``) and to do no more with it, such words go straight to its merges.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from itertools import pairwise
 
 import numpy as np
@@ -19,6 +22,43 @@ BATCH_BYTES = 2 << 20
 MARKS = b".,;:!?%$*#"
 BAR = "|"
 RUN = 64  # stretches encoded as one text
+WORD = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")  # in UTF-8; none of the letters is changed by NFC
+#: Rules under which a word of these letters is lowered and meets the merges whole.
+_LOWERED = ({"type": "NFC"}, {"type": "Lowercase"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "})
+_WHOLE = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed",
+     "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+
+
+def word_merges(spec: str):
+    """The merges alone of a tokenizer with the rules above, for lowered words (``WORD``) with a space between them, and which ids
+    end a word; None for any other tokenizer."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    given = json.loads(spec)
+    model, rules, split = given["model"], given["normalizer"] or {}, given["pre_tokenizer"] or {}
+    rules, split = rules.get("normalizers", []), split.get("pretokenizers", [])
+    suffix = model.get("end_of_word_suffix") or ""
+    letters = [x + end for x in pre_tokenizers.ByteLevel.alphabet() for end in ("", suffix)]
+    if (model.get("type") != "BPE" or model.get("dropout") or not suffix or any(x not in _LOWERED for x in rules)
+            or {"type": "Lowercase"} not in rules or split != _WHOLE or any(x not in model["vocab"] for x in letters)
+            or any(WORD.fullmatch(x["content"].encode()) for x in given["added_tokens"])):
+        return None
+    spaces = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+    plain = given | {"normalizer": None, "post_processor": None, "added_tokens": [], "truncation": None, "padding": None,
+                     "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, _WHOLE[1]]}}
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[k for token, k in model["vocab"].items() if token.endswith(suffix)]] = True
+    return Tokenizer.from_str(json.dumps(plain)), ends
+
+
+def encoder(held: dict) -> StretchEncoder:
+    """The encoder for ``held["spec"]``, kept there: the value of a broadcast stays with a Python worker, so its next task finds
+    the stretches that are known already."""
+    if "encoder" not in held:
+        held["encoder"] = StretchEncoder(held["spec"])
+    return held["encoder"]
 
 
 class StretchEncoder:
@@ -32,6 +72,7 @@ class StretchEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.bar = self.tokenizer.encode(BAR, add_special_tokens=False).ids
+        self.merges = word_merges(spec)
         self.known, self.before, self.size = {}, {}, 0
 
     def forms(self, parts: list[bytes]) -> dict[bytes, bytes]:
@@ -47,6 +88,16 @@ class StretchEncoder:
         found.update(zip(alone, [x.tobytes() for x in self.ids(alone)], strict=True))
         return found
 
+    def words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of lowered words, by the merges alone."""
+        tokenizer, last = self.merges
+        runs = [b" ".join(words[k:k + 16 * RUN]).decode() for k in range(0, len(words), 16 * RUN)]
+        found = [np.array(x.ids, "<u4") for x in tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *found])
+        ends = (4 * np.flatnonzero(last[ids]) + 4).tolist()
+        data = ids.tobytes()
+        return dict(zip(words, [data[a:b] for a, b in pairwise([0, *ends])], strict=True))
+
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [np.array(x.ids, "<u4") for x in found]
@@ -56,28 +107,33 @@ class StretchEncoder:
         if self.size > CACHE_BYTES:
             self.known, self.before, self.size = {}, self.known, 0
         known, before = self.known, self.before
-        stems, tailed, unseen = {}, [], set()
+        if before:
+            again = {x: before[x] for x in new if x in before}
+            known.update(again)
+            new = new.difference(again)
+        whole, stems, tails = [], [], []
         for stretch in new:
-            form = before.get(stretch)
-            if form is not None:
-                known[stretch] = form
-                continue
             stem = stretch.rstrip(MARKS)
             if len(stem) < len(stretch) and stem[-1:].isalnum():  # an ASCII letter or digit before the marks
-                tail = stretch[len(stem):]
-                tailed.append((stretch, stem, tail))
-                unseen.update((stem, tail))
-            else:
-                unseen.add(stretch)
-        for part in unseen:
-            form = known.get(part)
-            stems[part] = before.get(part) if form is None else form
-        fresh = [part for part, form in stems.items() if form is None]
-        if fresh:
-            stems.update(self.forms(fresh))
-        known.update(stems)
-        for stretch, stem, tail in tailed:
-            known[stretch] = stems[stem] + stems[tail]
+                whole.append(stretch)
+                stems.append(stem)
+                tails.append(stretch[len(stem):])
+        plain = new.difference(whole)
+        parts = plain.union(stems, tails)
+        forms = {x: form for x in parts if (form := known.get(x) or before.get(x)) is not None}
+        fresh = parts.difference(forms)
+        if self.merges:
+            words = [x for x in fresh if WORD.fullmatch(x)]
+            lowered = [x.lower() if x.isascii() else x.decode().lower().encode() for x in words]
+            found = self.words(list(set(lowered)))
+            forms.update(zip(words, map(found.__getitem__, lowered), strict=True))
+            others = list(fresh.difference(words))
+        else:
+            others = list(fresh)
+        if others:
+            forms.update(self.forms(others))
+        known.update(forms)
+        known.update(zip(whole, [forms[a] + forms[b] for a, b in zip(stems, tails, strict=True)], strict=True))
         self.size += sum(map(len, new)) * 2 + 150 * (len(new) + len(fresh))
 
     def encoded(self, texts: pa.Array):
