@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowtables.catalog import CLASSES
 from flowtables.plans.history import TrafficHistory
@@ -93,3 +94,13 @@ def test_detectors_by_record_from_indented_files(spark, tmp_path):
     path = write(tmp_path / "in", a=indented("VDLive", body, body.replace("<VDID>1", "<VDID>2")))
     by_record, by_file = (sorted(map(str, xmlrecords.read_detectors(spark, path, unit=unit).collect())) for unit in ("record", "file"))
     assert by_record == by_file and len(by_file) == 2
+
+
+def test_marks_before_attributes_look_back_at_equal_signs_only(spark):
+    text = """<?xml version="1.0" encoding='UTF-8' standalone="yes"?><a b="1" c ='2' subversion="3"><d>x="4" = "5"</d></a>"""
+    row = spark.createDataFrame([(text,)], "t string").select(xmlrecords._marked(F.col("t")).alias("t"))
+    mark = xmlrecords._MARK
+    assert row.first().t == (f"""<?xml version="1.0" encoding='UTF-8' standalone="yes"?><a b="{mark}1" c ='{mark}2' subversion="3">"""
+                             f"""<d>{mark}x="{mark}4" = "5"{mark}</d></a>""")
+    plan = row._jdf.queryExecution().analyzed().toString()
+    assert "=(?<!version=)" in plan and "(?<!version)" not in plan
