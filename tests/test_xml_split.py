@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flowtables.catalog import CLASSES
 from flowtables.plans.history import TrafficHistory
 from flowtables.sources import xmlrecords
+from flowtables.workload import xmlflows
 from tests.test_xml import NIL, converted, document
 
 HEADER = "2021-01-01T08:00:00+08:00"
@@ -104,3 +105,19 @@ def test_marks_before_attributes_look_back_at_equal_signs_only(spark):
                              f"""<d>{mark}x="{mark}4" = "5"{mark}</d></a>""")
     plan = row._jdf.queryExecution().analyzed().toString()
     assert "=(?<!version=)" in plan and "(?<!version)" not in plan
+
+
+def test_live_documents_are_bounded(spark, tmp_path, monkeypatch):
+    spark.sql("SELECT id AS o_orderkey, '1-URGENT' AS o_orderpriority, DATE '1995-01-01' AS o_orderdate FROM range(1, 96)").write.parquet(
+        str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(xmlflows, "LIVE_KEYS", 10)
+    written, files = [], xmlflows._files
+
+    def noted(texts, *rest):
+        written.extend(r.text.count("<LiveTraffic>") for r in texts.collect())
+        return files(texts, *rest)
+
+    monkeypatch.setattr(xmlflows, "_files", noted)
+    found = xmlflows.xml_split_live(spark, str(tmp_path))
+    assert sorted(r.id for r in found.collect()) == sorted(f"X-{k}" for k in range(1, 96))
+    assert max(written) <= 10 and sum(written) == 95
