@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowtables.llm.stage import new_path, small_batches, stored
-from flowtables.llm.tokens import StretchEncoder, read_spec
+from flowtables.llm.tokens import encoder, read_spec
 
 SEQUENCE = 2048
 SHARD = 2048
@@ -84,12 +84,12 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> D
     last = max(Tokenizer.from_str(text).get_vocab(with_added_tokens=True).values(), default=0)
     if not 0 <= end_id < 1 << 16 or last >= 1 << 16:
         raise ValueError(f"ids do not fit 16 bits: the tokenizer's last id is {last}, the end id {end_id}")
-    spec = docs.sparkSession.sparkContext.broadcast(text)
+    spec = docs.sparkSession.sparkContext.broadcast({"spec": text})
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
         end = np.array([end_id], "<u2").tobytes()
-        coder = StretchEncoder(spec.value)
+        coder = encoder(spec.value)
         for batch in batches:
             ids = pa.array([x.astype("<u2").tobytes() + end for x in coder.encoded(batch.column(1))], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])

@@ -5,9 +5,10 @@ import json
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import SparkContext
 from tokenizers import Tokenizer
 
-from flowtables.llm import tokens
+from flowtables.llm import tokens, training_order
 
 SPEC = tokens.read_spec(public_tokenizers.path("word_bpe_49k.json"))
 TEXTS = [
@@ -44,3 +45,15 @@ def test_an_encoder_is_kept_beside_its_tokenizer():
     held = {"spec": SPEC}
     list(tokens.encoder(held).encoded(pa.array(["some words"])))
     assert tokens.encoder(held).known.keys() == {b"some", b"words"}
+
+
+def test_training_order_sends_a_place_for_its_encoder(spark, monkeypatch):
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    docs = spark.createDataFrame([(k, text) for k, text in enumerate(TEXTS)], "doc_id long, text string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = {r.doc_id: np.frombuffer(r.ids, "<u2") for r in training_order.token_table(docs, path).collect()}
+    own = Tokenizer.from_str(SPEC)
+    for k, text in enumerate(TEXTS):
+        assert found[k].tolist() == [*own.encode(text or "", add_special_tokens=False).ids, training_order.END_ID]
+    assert sent == [{"spec": SPEC}]
