@@ -3,7 +3,8 @@
 Only text whose windows may be shared is looked at: a window's key is the least hash of its ``GRAM``-byte strings, equal windows
 have equal keys, and keys seen in one row only are left out (a filter of fixed size says which; what it lets through too much
 costs time, not rightness). The rest is cut into pieces at places the text itself decides, so copies give equal pieces; an equal
-piece is indexed once, with the smallest document that holds it.
+piece is looked at once, with the smallest document that holds it. A key of one segment in all different pieces needs no index: its
+windows are in no other piece, and the piece's smallest document is their answer.
 
 The index is a suffix order in parts. All windows of one key are in one part, so a part needs nothing of the others. Shards of
 a part are transformed apart, each with its own sort; then the transforms alone are merged. The interleave of the shards' suffixes
@@ -11,6 +12,9 @@ is refined step by step: the order by ``h`` bytes and one pass over the transfor
 that agree in ``h`` bytes stand side by side as a block: where a block parts, the common prefix of its neighbours is ``h`` or one more.
 Blocks of one suffix are settled and leave the refinement. After ``WINDOW`` bytes what is left are the repeated intervals, and the
 smallest document of each is the answer for all windows in it.
+
+A key of more segments than a part may hold is no part's. Its segments are few texts often met: equal ones are taken together, and
+of the different ones a window in very many is looked up in a table, the others are grouped.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowtables.llm.bounded import bit_filter, joined, passing
@@ -30,13 +34,16 @@ from flowtables.llm.words import mixed, odd_numbers
 
 WINDOW = 50
 GRAM = 20
-CHUNK = 1 << 20  # bytes of text worked on at once
+CHUNK = 1 << 18  # bytes of text worked on at once: its hashes stay in a processor's cache
 RUN = 64  # windows of a segment at most
 PIECE = 512  # windows of a piece at most
 PIECE_BITS = 2  # a piece holds 2 ** PIECE_BITS runs of one key on average
-PART_BYTES = 3 << 20
+PART_BYTES = 1 << 20  # of segments, on average
 SHARD_BYTES = 8 << 20  # of segments that a task holds to make shards of them, one a part
-KEY_SEGMENTS = 4096  # a key with more segments is no part's: its windows are grouped one by one
+KEY_SEGMENTS = 4096  # a key with more segments is no part's
+HOT_WINDOWS = 100_000  # of crowded keys, at most, whose answers every task has
+HELD_KEYS = 1 << 19  # that a task holds to sort them into buckets
+BUCKET_BITS = 11
 SEEN = 200_000  # pieces a task remembers
 SEED = 12
 ZSTD = "zstd"
@@ -125,29 +132,50 @@ class Keyed:
         return out
 
 
+def _buckets(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Keys with their rows (rising) as sorted keys by their first bits: once if one row has the key, twice if several have."""
+    keys, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (rows[1:] != rows[:-1])
+    keys = keys[new]
+    needed = np.ones(len(keys), bool)
+    needed[2:] = keys[2:] != keys[:-2]
+    keys = keys[needed]
+    begins = np.searchsorted(keys, np.arange(1 << BUCKET_BITS, dtype="uint64") << np.uint64(64 - BUCKET_BITS))
+    offsets = (np.append(begins, len(keys)) * 8).astype("int32")
+    content = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(keys)])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(begins), dtype="int32")), content], ["bucket", "keys"])
+    return batch.filter(pa.array(np.diff(offsets) > 0))
+
+
 def shared_keys(texts: DataFrame) -> DataFrame:
-    """``hash`` of the window keys that several rows have."""
+    """``hash`` of the window keys that several rows have.
+
+    There is a key for every few bytes of text: they travel sorted, many in a row, by their first bits.
+    """
 
     def run(batches):
-        key = WindowKeys()
+        key, held, size, past = WindowKeys(), [], 0, 0
         for batch in batches:
             for some in _chunks(batch.column(0).to_pylist()):
                 found = Keyed(some, key)
                 heads, _ = found.runs(found.inside, found.new_key(), 1 << 40)
-                keys, rows = found.keys[heads], found.rows(heads)
-                order = np.lexsort((rows, keys))
-                keys, rows = keys[order], rows[order]
-                first = np.ones(len(keys), bool)
-                first[1:] = keys[1:] != keys[:-1]
-                other = np.zeros(len(keys), bool)
-                other[1:] = ~first[1:] & (rows[1:] != rows[:-1])
-                begins = np.nonzero(first)[0]
-                if len(begins):
-                    n = 1 + np.logical_or.reduceat(other, begins).astype("int8")
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[begins].view("int64")), pa.array(n)], ["hash", "n"])
-
-    counted = texts.select("bytes").mapInArrow(run, "hash long, n byte").groupBy("hash").agg(F.sum("n").alias("n"))
-    return counted.filter("n > 1").select("hash")
+                held.append((found.keys[heads], found.rows(heads) + past))
+                size += len(heads)
+                if size >= HELD_KEYS:
+                    yield _buckets(held)
+                    held, size = [], 0
+            past += batch.num_rows
+        if held:
+            yield _buckets(held)
+
+    def repeated(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.concatenate([np.frombuffer(x, "<u8") for x in table.column("keys").to_pylist()]))
+        return pa.table({"hash": np.unique(keys[1:][keys[1:] == keys[:-1]]).view("int64")})
+
+    return texts.select("bytes").mapInArrow(run, "bucket int, keys binary").groupBy("bucket").applyInArrow(repeated, "hash long")
 
 
 def pieces(texts: DataFrame, bits) -> DataFrame:
@@ -188,70 +216,179 @@ def pieces(texts: DataFrame, bits) -> DataFrame:
     return texts.select("doc_id", "mark", "bytes").mapInArrow(run, schema)
 
 
-def crowded_keys(distinct: DataFrame) -> DataFrame:
-    """``hash`` of the keys with more than ``KEY_SEGMENTS`` segments: an unbounded group, which no part may hold."""
+def segment_keys(distinct: DataFrame) -> DataFrame:
+    """``hash, n, windows`` of the keys with several segments: those of one are in one piece only."""
 
     def run(batches):
         key = WindowKeys()
         for batch in batches:
             for some in _chunks(batch.column(0).to_pylist()):
                 found = Keyed(some, key)
-                begins, _ = found.runs(found.inside, found.new_key(), RUN)
-                keys, n = np.unique(found.keys[begins], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view("int64")), pa.array(n)], ["hash", "n"])
+                begins, lengths = found.runs(found.inside, found.new_key(), RUN)
+                keys, of, n = np.unique(found.keys[begins], return_inverse=True, return_counts=True)
+                windows = np.bincount(of, lengths, len(keys)).astype("int64")
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view("int64")), pa.array(n), pa.array(windows)], ["hash", "n", "windows"])
+
+    counted = distinct.select("bytes").mapInArrow(run, "hash long, n long, windows long").groupBy("hash").agg(
+        F.sum("n").alias("n"), F.sum("windows").alias("windows"))
+    return counted.filter("n > 1")
 
-    counted = distinct.select("bytes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return counted.filter(F.col("n") > KEY_SEGMENTS).select("hash")
 
+def _texts(found: Keyed, begins: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    return [found.data[a:b] for a, b in zip(begins.tolist(), (begins + lengths + WINDOW - 1).tolist(), strict=True)]
 
-def _segments(batches, crowded, parts: int):
-    """Of batches of ``p1, p2, low, n, bytes`` the segments: part, row of the batch, place in the piece, bytes; each piece cut by
-    key, so that equal windows are in one part. Windows of a crowded key are given one by one, as part -1."""
+
+def _segments(batches, several, crowded, parts: int):
+    """Of batches of ``p1, p2, low, n, bytes`` the segments of the parts: part, row of the batch, place in the piece, bytes; each
+    piece cut by key, so that equal windows are in one part."""
     key = WindowKeys()
     for batch in batches:
         for some in _chunks(batch.column(4).to_pylist()):
             found = Keyed(some, key)
-            single = passing(crowded, found.keys)
-            begins, lengths = found.runs(found.inside, found.new_key() | single, RUN)
-            ends = begins + lengths + WINDOW - 1
-            content = pa.array([found.data[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary())
-            part = np.where(single[begins], -1, (found.keys[begins] % np.uint64(parts)).astype("int64"))
+            chosen = found.inside & passing(several, found.keys) & ~passing(crowded, found.keys)
+            begins, lengths = found.runs(chosen, found.new_key(), RUN)
+            part = (found.keys[begins] % np.uint64(parts)).astype("int64")
             rows = pa.array(found.rows(begins))
             yield pa.table([
                 pa.array(part), *(batch.column(k).take(rows) for k in (0, 1)), pa.array(found.places(begins).astype("int32")),
-                *(batch.column(k).take(rows) for k in (2, 3)), content], names=["part", "p1", "p2", "at", "low", "n", "bytes"])
+                *(batch.column(k).take(rows) for k in (2, 3)), pa.array(_texts(found, begins, lengths), pa.binary())],
+                names=["part", "p1", "p2", "at", "low", "n", "bytes"])
+
 
+def apart(distinct: DataFrame, several, crowded) -> DataFrame:
+    """``p1, p2, at, length, low, n, r1, r2, bytes`` of the windows that are in no part.
 
-def single_windows(distinct: DataFrame, crowded, parts: int) -> DataFrame:
-    """``p1, p2, at, low, n, bytes`` of the windows of crowded keys."""
+    Without ``bytes``: stretches of windows in one piece only, where several rows have that piece (one row loses nothing to itself).
+    With ``bytes``, which ``r1, r2`` name: runs of windows of a crowded key.
+    """
     kind = distinct.schema["low"].dataType.simpleString()
 
+    def stretches(batch, found, begins, lengths, names, content):
+        rows = pa.array(found.rows(begins))
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(k).take(rows) for k in (0, 1)), pa.array(found.places(begins).astype("int32")), pa.array(lengths.astype("int32")),
+             *(batch.column(k).take(rows) for k in (2, 3)), *names, content], ["p1", "p2", "at", "length", "low", "n", "r1", "r2", "bytes"])
+
     def run(batches):
-        for table in _segments(batches, crowded.value, parts):
-            yield from table.filter(pc.equal(table.column("part"), -1)).drop_columns("part").to_batches()
+        key = WindowKeys()
+        for batch in batches:
+            n = batch.column(3).to_numpy()
+            for some in _chunks(batch.column(4).to_pylist()):
+                found = Keyed(some, key)
+                shared = passing(several.value, found.keys)
+                begins, lengths = found.runs(found.inside & ~shared, np.zeros(len(shared), bool), 1 << 40)
+                held = n[found.rows(begins)] > 1
+                begins, lengths = begins[held], lengths[held]
+                yield stretches(batch, found, begins, lengths, [pa.nulls(len(begins), pa.int64())] * 2, pa.nulls(len(begins), pa.binary()))
+                begins, lengths = found.runs(found.inside & shared & passing(crowded.value, found.keys), found.new_key(), RUN)
+                content = _texts(found, begins, lengths)
+                yield stretches(batch, found, begins, lengths, map(pa.array, _names(content).T), pa.array(content, pa.binary()))
+
+    return distinct.select("p1", "p2", "low", "n", "bytes").mapInArrow(
+        run, f"p1 long, p2 long, at int, length int, low {kind}, n long, r1 long, r2 long, bytes binary")
+
 
-    return distinct.select("p1", "p2", "low", "n", "bytes").mapInArrow(run, f"p1 long, p2 long, at int, low {kind}, n long, bytes binary")
+def _names(content: list[bytes]) -> np.ndarray:
+    """Two numbers that name each text."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, content)), "<i8").reshape(-1, 2)
+
+
+def _windows(text: bytes) -> list[bytes]:
+    return [text[k:k + WINDOW] for k in range(len(text) - WINDOW + 1)]
+
+
+def crowded_windows(runs: DataFrame) -> DataFrame:
+    """``p1, p2, n, found`` for the windows of crowded keys.
+
+    Equal runs are taken together. A window in more than ``KEY_SEGMENTS`` different ones is looked up; there are few of those.
+    """
+    kind = runs.schema["low"].dataType.simpleString()
+    distinct = stored(runs.groupBy("r1", "r2").agg(
+        F.min("low").alias("low"), F.count(F.lit(1)).alias("rows"), F.max("bytes").alias("bytes")), "runs", ZSTD)
+
+    def named(batches):
+        for batch in batches:
+            lists = [_windows(text) for text in batch.column(1).to_pylist()]
+            rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            names = _names([window for some in lists for window in some])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, names.T)], ["low", "w1", "w2"])
+
+    counted = distinct.select("low", "bytes").mapInArrow(named, f"low {kind}, w1 long, w2 long").groupBy("w1", "w2").agg(
+        F.min("low").alias("least"), F.count(F.lit(1)).alias("n"))
+    total = distinct.agg(F.sum(F.length("bytes") - WINDOW + 1)).first()[0] or 0
+    bound = max(KEY_SEGMENTS, total // HOT_WINDOWS)
+    hot = runs.sparkSession.sparkContext.broadcast({(r.w1, r.w2): r.least for r in counted.filter(F.col("n") > bound).collect()})
+
+    def looked_up(batches):
+        known = hot.value
+        for batch in batches:
+            out = []
+            for r1, r2, n, low, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                last = None
+                for k, name in enumerate(map(tuple, _names(_windows(text)).tolist())):
+                    if name not in known:
+                        out.append([r1, r2, n, k, 1, low, *name])
+                        last = None
+                    elif last is not None and last[5] == known[name]:
+                        last[4] += 1
+                    else:
+                        last = [r1, r2, n, k, 1, known[name], None, None]
+                        out.append(last)
+            kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [batch.schema.field("low").type] + [pa.int64()] * 2
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, like) for x, like in zip(zip(*out, strict=True), kinds, strict=True)],
+                    ["r1", "r2", "rows", "at", "length", "low", "w1", "w2"])
+
+    windows = stored(distinct.select("r1", "r2", "rows", "low", "bytes").mapInArrow(
+        looked_up, f"r1 long, r2 long, rows long, at int, length int, low {kind}, w1 long, w2 long"), "windows", ZSTD)
+    grouped = windows.filter("w1 is not null").withColumn("low", F.min("low").over(Window.partitionBy("w1", "w2")))
+    found = stored(windows.filter("w1 is null").unionByName(grouped).groupBy("r1", "r2").agg(
+        F.max("rows").alias("rows"), F.collect_list(F.struct("at", "length", "low")).alias("found")), "run-windows", ZSTD)
+    of_pieces = F.transform("found", lambda x: F.struct((F.col("place") + x["at"]).alias("at"), x["length"].alias("length"), x["low"].alias("low")))
+    out = joined(runs.select("p1", "p2", "n", F.col("at").alias("place"), "r1", "r2"), found, ["r1", "r2"], "rows")
+    out = stored(out.select("p1", "p2", "n", of_pieces.alias("found")).groupBy("p1", "p2").agg(
+        F.max("n").alias("n"), F.flatten(F.collect_list("found")).alias("found")), "crowded", ZSTD)
+    discard(distinct, windows, found)
+    return out
+
+
+def _packed(code: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """Each place's code and the next ones, ``width`` in all, in one number; nothing behind a string's end (0) counts."""
+
+    def longer(one, n, more, n_more):
+        tail = np.zeros(len(one), "uint64")
+        tail[:max(0, len(one) - n)] = more[n:]
+        tail[one & np.uint64((1 << bits) - 1) == 0] = 0
+        return one << np.uint64(n_more * bits) | tail
+
+    powers = [code]
+    while 2 << (len(powers) - 1) <= width:
+        n = 1 << (len(powers) - 1)
+        powers.append(longer(powers[-1], n, powers[-1], n))
+    out, n = powers[-1], 1 << (len(powers) - 1)
+    for k in range(len(powers) - 2, -1, -1):
+        if n + (1 << k) <= width:
+            out, n = longer(out, n, powers[k], 1 << k), n + (1 << k)
+    return out
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """The suffixes of strings in a row (bytes plus 1, each string ended by 0) in order; a 0 before that of a later string.
 
-    As many bytes as 63 bits hold at first, then the ranks of suffixes still equal are doubled.
+    As many bytes as 64 bits hold beside the place at first, then the ranks of suffixes still equal are doubled.
     """
     n = len(text)
     there = np.bincount(text, minlength=257) > 0
     there[0] = True  # stays 0
-    code = np.cumsum(there) - 1
-    bits = max(1, int(code[-1]).bit_length())
-    width = 63 // bits
-    padded = np.concatenate([code[text], np.zeros(width, "int64")])
-    keys, open_ = np.zeros(n, "int64"), np.ones(n, bool)
-    for k in range(width):
-        keys = keys << bits | np.where(open_, padded[k:k + n], 0)
-        open_ &= padded[k:k + n] != 0  # nothing behind a string's end counts
-    order = np.argsort(keys, kind="stable")
+    code = np.cumsum(there, dtype="uint64") - np.uint64(1)
+    bits, place_bits = max(1, int(code[-1]).bit_length()), n.bit_length()
+    width = (64 - place_bits) // bits
+    keys = np.sort(_packed(code[text], bits, width) << np.uint64(place_bits) | np.arange(n, dtype="uint64"))
+    order = (keys & np.uint64((1 << place_bits) - 1)).astype("int64")
+    keys >>= np.uint64(place_bits)
     new = np.ones(n, bool)
-    new[1:] = (np.diff(keys[order]) != 0) | ~open_[order][1:]  # those with an end in them are settled by their place
+    new[1:] = (keys[1:] != keys[:-1]) | (keys[1:] & np.uint64((1 << bits) - 1) == 0)  # those with an end in them are settled by their place
     while not new.all():
         rank = np.empty(n + 1, "int64")
         rank[n] = -1
@@ -286,14 +423,13 @@ def transform(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (before - (before > 0)).astype("uint8"), np.nonzero(before == 0)[0].astype("int32")
 
 
-def shard_transforms(distinct: DataFrame, crowded, parts: int) -> DataFrame:
+def shard_transforms(distinct: DataFrame, several, crowded, parts: int) -> DataFrame:
     """One row a shard, which is what a task holds of a part at once: its transform, and what belongs to its strings in their order."""
     kind = distinct.schema["low"].dataType.simpleString()
     lists = ("p1", "p2", "at", "low", "n")
 
     def shards(held):
         table = pa.concat_tables(held)
-        table = table.filter(pc.greater_equal(table.column("part"), 0))
         table = table.take(pc.sort_indices(table, sort_keys=[("part", "ascending"), ("bytes", "ascending")])).combine_chunks()
         if not table.num_rows:
             return
@@ -307,7 +443,7 @@ def shard_transforms(distinct: DataFrame, crowded, parts: int) -> DataFrame:
 
     def run(batches):
         held, size = [], 0
-        for table in _segments(batches, crowded.value, parts):
+        for table in _segments(batches, several.value, crowded.value, parts):
             held.append(table)
             size += table.column("bytes").nbytes
             if size > SHARD_BYTES:
@@ -352,7 +488,10 @@ def repeated_blocks(on: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def merged(shards: DataFrame) -> DataFrame:
-    """``p1, p2, n, at, length, low`` for all windows of the shards' strings, by merging the transforms of each part's shards."""
+    """``p1, p2, n, at, length, low`` for the windows of the shards' strings, by merging the transforms of each part's shards.
+
+    Of a piece that one row has, only those that are also in another piece, of a smaller document.
+    """
     kind = shards.schema["low"].dataType.elementType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
@@ -402,13 +541,15 @@ def merged(shards: DataFrame) -> DataFrame:
         heads = np.nonzero(first)[0]
         owner = pa.array(string[heads])
         flat = {name: pa.concat_arrays([x.flatten() for x in table.column(name).chunks]).take(owner) for name in ("p1", "p2", "n", "at")}
+        needed = (low[heads] != own[string[heads]]) | (flat["n"].to_numpy() > 1)
         at = flat["at"].to_numpy() + whole[string[heads]] - behind[heads]
         return pa.table({
             "p1": flat["p1"], "p2": flat["p2"], "n": flat["n"], "at": pa.array(at.astype("int32")),
             "length": pa.array(np.diff(np.append(heads, len(windows))).astype("int32")),
-            "low": pa.array([ordered[k] for k in low[heads].tolist()], table.schema.field("low").type.value_type)})
+            "low": pa.array([ordered[k] for k in low[heads].tolist()], table.schema.field("low").type.value_type), "needed": pa.array(needed)})
 
-    return shards.groupBy("part").applyInArrow(run, f"p1 long, p2 long, n long, at int, length int, low {kind}")
+    found = shards.groupBy("part").applyInArrow(run, f"p1 long, p2 long, n long, at int, length int, low {kind}, needed boolean")
+    return found.filter("needed").drop("needed")
 
 
 def marked(texts: DataFrame, marks) -> DataFrame:
@@ -464,15 +605,19 @@ def repeated_bytes(docs: DataFrame, with_text: bool = False, id_col: str = "doc_
     held = stored(pieces(known, shared), "pieces", ZSTD)
     distinct = stored(held.groupBy("p1", "p2").agg(
         F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes")), "distinct", ZSTD)
-    size = distinct.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    crowded = spark.sparkContext.broadcast(bit_filter(crowded_keys(distinct)))
-    parts = int(2 * size // PART_BYTES + 1)
-    single = stored(single_windows(distinct, crowded, parts), "single", ZSTD)
-    least = stored(single.groupBy("bytes").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("rows")), "least")
-    alone = joined(single, least, ["bytes"], "rows").select("p1", "p2", "n", "at", F.lit(1).alias("length"), F.col("least").alias("low"))
-    found = stored(merged(shard_transforms(distinct, crowded, parts)).unionByName(alone).groupBy("p1", "p2").agg(
-        F.max("n").alias("n"), F.collect_list(F.struct("at", "length", "low")).alias("found")), "found", ZSTD)
-    discard(distinct, single, least)
+    keys = stored(segment_keys(distinct), "keys", ZSTD)
+    few, many = F.col("n") <= KEY_SEGMENTS, F.col("n") > KEY_SEGMENTS
+    size = keys.filter(few).agg(F.sum(F.col("windows") + (WINDOW - 1) * F.col("n"))).first()[0] or 0
+    several, crowded = (spark.sparkContext.broadcast(bit_filter(x)) for x in (keys, keys.filter(many)))
+    others = stored(apart(distinct, several, crowded), "apart", ZSTD)
+    indexed = merged(shard_transforms(distinct, several, crowded, int(size // PART_BYTES + 1)))
+    alone = others.filter("bytes is null").select("p1", "p2", "n", "at", "length", "low")
+    found = indexed.unionByName(alone).groupBy("p1", "p2").agg(
+        F.max("n").alias("n"), F.collect_list(F.struct("at", "length", "low")).alias("found"))
+    if crowded.value.any():
+        found = found.unionByName(crowded_windows(others.filter("bytes is not null")))
+    found = stored(found, "found", ZSTD)
+    discard(distinct, keys, others)
     later = F.transform(
         F.filter("found", lambda x: x["low"] < F.col("doc_id")),
         lambda x: F.struct((F.col("start") + x["at"]).alias("start"), x["length"].alias("length")))

@@ -66,6 +66,34 @@ def test_keys_with_many_segments_are_grouped_window_by_window(spark, monkeypatch
     assert found(spark, rows) == brute(rows)
 
 
+def test_a_crowded_key_costs_a_row_a_run_not_a_row_a_window(spark, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "KEY_SEGMENTS", 20)
+    given = []
+    monkeypatch.setattr(bwt_dedup, "joined", lambda many, *rest: given.append(many.count()) or bounded.joined(many, *rest))
+    rng = random.Random(1)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(100))
+    rows = [(k, f"{rng.random()}{rng.random()}{line}{rng.random()}{rng.random()}") for k in range(150)]
+    assert found(spark, rows) == brute(rows)
+    assert len(given) == 2  # both ways of a window were taken
+    assert max(given) <= 150 * 51 / 5
+
+
+def test_windows_of_one_piece_need_no_index(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(bwt_dedup, "merged", lambda shards, real=bwt_dedup.merged: given.append(shards.count()) or real(shards))
+    rng = random.Random(2)
+    rows = [(k, "".join(rng.choice("abcdefghij ") for _ in range(400))) for k in range(5)]
+    rows += [(k + 100, text) for k, text in rows]
+    assert found(spark, rows) == brute(rows)
+    assert given == [0]
+
+
+def test_keys_of_many_rows_are_found_across_buckets_and_batches(spark, monkeypatch):
+    monkeypatch.setattr(bwt_dedup, "HELD_KEYS", 5)
+    rows = table(6)
+    assert found(spark, rows) == brute(rows)
+
+
 def test_texts_in_chunks_and_small_shards(spark, monkeypatch):
     for name, value in (("CHUNK", 300), ("PIECE", 7), ("RUN", 3), ("SHARD_BYTES", 500), ("PART_BYTES", 2000)):
         monkeypatch.setattr(bwt_dedup, name, value)
